@@ -77,3 +77,34 @@ SELECT doc_id, size, source_size, target,
         WHEN upto - size / 2.0 <= part THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM r
 """
+
+OP4 = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP10 = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), n AS (
+    -- what a turn's own marks and escapes add to its text
+    SELECT *, len(regexp_extract_all(text, '(<\\*s>)|(<\\*/s>)|(\[\\*INST\])|(\[\\*/INST\])|(<\\*<SYS>>)|(<\\*</SYS>>)|(<\\*<ROLE>>)|(<\\*</ROLE>>)|(<\\*<END>>)'))
+        + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 WHEN 'system' THEN 18 ELSE 24 + length(role) END AS added
+    FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(length(text) + added))::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id
+"""
