@@ -139,9 +139,8 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text:
     stopped = F.when(base_failed(), F.lit("base"))
     for name in order:
         stopped = stopped.when(F.coalesce(by_name[name].rejects(text), F.lit(False)), F.lit(name))
-    return (
-        stats.withColumn("base_failed", base_failed())
-        .withColumn("failed_rule", stopped)
-        .withColumn("kept", F.col("failed_rule").isNull())
-        .drop("_words")
-    )
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+    out = stats.withColumn("base_failed", base_failed()).withColumn("failed_rule", stopped)
+    out = out.withColumn("kept", F.col("failed_rule").isNull())
+    # a generator of one row: a filter on ``kept`` stays above it and is not spelled out in terms of the text
+    return out.select(*docs.columns, F.inline(F.array(F.struct(*results, "base_failed", "failed_rule", "kept"))))

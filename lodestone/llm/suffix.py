@@ -10,8 +10,10 @@ so equal strings have their anchors at equal places. All windows of an anchor co
 [anchor, anchor + length - SPREAD], so a window can only repeat if the rank of those does.
 Round 2 ranks surviving anchors by all bytes of all their windows: where that rank repeats, all
 windows repeat. Round 3 takes one member of every class that shares round 1's rank but not round
-2's, ranks each of its windows by the pair of names (first half, second half at the doubled
-offset), and keeps windows whose pair occurs twice; that is past the threshold, so it ends here.
+2's, cuts its windows into blocks of ``BLOCK`` by distance to the anchor, and ranks the blocks in
+the same two ways by their longer common bytes. Round 4 ranks single windows of what is still open
+by the pair of names (first half, second half at the doubled offset) and keeps windows whose pair
+occurs twice; that is the threshold, so it ends here.
 
 Groups may have any size: classes are counted by partial aggregation, and looked up by joins whose
 large keys Spark can split; no class is ever collected.
@@ -39,6 +41,8 @@ LENGTH = 200
 #: Start positions among whose hashes an anchor is the least; at most LENGTH - 8.
 SPREAD = 128
 GRAM = 8
+#: Windows of one block in round 3.
+BLOCK = 32
 #: Windows handled at once: texts beyond it are cut with an overlap, which changes no result.
 CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -115,12 +119,50 @@ def anchors(b: np.ndarray, length: int = LENGTH, spread: int = SPREAD) -> tuple[
     return tuple(np.concatenate(x) for x in (cores, wholes, lows, counts))
 
 
-def window_pairs(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Names of both halves of every window of a short byte string."""
-    t = _Text(b)
-    p = np.arange(len(b) - length + 1)
+def _by_chunk(raw: np.ndarray, lo: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, int, _Text]]:
+    """(indices, offset, names) of the parts of a text in which the given windows begin."""
+    part = lo // CHUNK
+    for k in np.unique(part).tolist():
+        at = k * CHUNK
+        yield np.flatnonzero(part == k), at, _Text(raw[at : at + CHUNK + 3 * length])
+
+
+def blocks(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, size: int = BLOCK, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
+    """Cut runs of windows, one anchor each, into blocks by distance to the anchor.
+
+    Gives (index of the run, core, whole, first window, number of windows) of every block; core names
+    the bytes that all windows at those distances share, whole the bytes of all windows of the block.
+    """
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for index, at, t in _by_chunk(raw, lo, length):
+        low, count = lo[index] - at, n[index]
+        hashes = t.grams[low[:, None] + np.arange(spread)] & ~_POSITION
+        anchor = low + hashes.argmin(1)
+        nearest, farthest = anchor - (low + count - 1), anchor - low
+        first = nearest // size
+        parts = farthest // size - first + 1
+        run = np.repeat(np.arange(len(index)), parts)
+        k = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = anchor[run] - np.minimum(farthest[run], k * size + size - 1)
+        stop = anchor[run] - np.maximum(nearest[run], k * size) + 1
+        head = anchor[run] - k * size
+        core = t.name(head, head + (length - size + 1)) ^ (k * 0x1E3779B97F4A7C15)
+        for o, x in zip(out, (index[run], core, t.name(start, stop - 1 + length), start + at, stop - start), strict=True):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
+
+
+def window_pairs(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(index of the run, name of the first half, name of the second half, start) of every window."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
     half = length // 2
-    return t.name(p, p + half), t.name(p + half, p + length)
+    for index, at, t in _by_chunk(raw, lo, length):
+        count = n[index]
+        run = np.repeat(np.arange(len(index)), count)
+        p = (lo[index] - at)[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        for o, x in zip(out, (index[run], t.name(p, p + half), t.name(p + half, p + length), p + at), strict=True):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def merge_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -156,6 +198,21 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _emit(batches: Iterator[pa.RecordBatch], rows, schema: pa.Schema, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size from the column arrays that ``rows`` gives for one text after another."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for b in batches:
+        for columns in rows(b):
+            parts.append(columns)
+            held += len(columns[0])
+            if held > most:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+                parts, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+
+
 def _finish(text: bytes, sure: list[dict] | None, length: int, with_text: bool) -> tuple:
     starts = np.array([s["lo"] for s in sure or ()], np.int64)
     stops = starts + np.array([s["n"] for s in sure or ()], np.int64) + length - 1
@@ -179,23 +236,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     anchor_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("core", "whole", "key", "lo", "n")])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(anchor_schema)
-        for b in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            held = 0
+        def rows(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
             for key, t in zip(b.column("_key").to_pylist(), b.column("_text"), strict=True):
                 raw = t.as_buffer()
-                if len(raw) < length:
-                    continue
-                core, whole, lo, n = anchors(np.frombuffer(raw, np.uint8), length)
-                for p, x in zip(parts, (core, whole, np.full(len(core), key), lo, n), strict=True):
-                    p.append(x)
-                held += len(core)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
-                    parts, held = [[], [], [], [], []], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
+                if len(raw) >= length:
+                    core, whole, lo, n = anchors(np.frombuffer(raw, np.uint8), length)
+                    yield [core, whole, np.full(len(core), key), lo, n]
+
+        yield from _emit(batches, rows, _arrow(anchor_schema))
 
     found = space.save(docs.select("_key", "_text").mapInArrow(find, anchor_schema), "anchors")
     cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
@@ -242,33 +290,49 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     staged = space.save(docs.join(info, "_key", "left").select(*keep, "_key", "_text", "_sure", "_reps").mapInArrow(settle, staged_schema), "staged")
     space.release()
 
-    # round 3: one member of every class, window by window, by pairs of names at the doubled offset
+    # round 3: one member of every class, in blocks of windows by distance to the anchor
+    block_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("core", "whole", "key", "lo", "n", "count")])
+
+    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+            for key, t, reps in zip(b.column("_key").to_pylist(), b.column("_text"), b.column("_reps").to_pylist(), strict=True):
+                lo, n, count = (np.array([r[c] for r in reps], np.int64) for c in ("lo", "n", "count"))
+                run, core, whole, start, windows = blocks(np.frombuffer(t.as_buffer(), np.uint8), lo, n, length=length)
+                yield [core, whole, np.full(len(run), key), start, windows, count[run]]
+
+        yield from _emit(batches, rows, _arrow(block_schema))
+
+    cut_up = space.save(staged.filter(F.size("_reps") > 0).select("_key", "_text", "_reps").mapInArrow(cut_blocks, block_schema), "blocks")
+    cores = cut_up.groupBy("core").agg(F.sum("count").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    cores = space.save(cores.filter("c > 1").select("core", (F.col("a") == F.col("b")).alias("single")), "cores")
+    alive = space.save(cut_up.join(cores, "core"), "alive")
+    open_ = alive.filter(~F.col("single"))
+    classes = open_.groupBy("core", "whole").agg(F.sum("count").alias("count"), F.min(F.struct("key", "lo", "n")).alias("rep"))
+    classes = space.save(classes.select("core", "whole", "count", "rep.key", "rep.lo", "rep.n"), "classes")
+    repeated = classes.filter("count > 1").select("core", "whole")
+    late = alive.filter("single AND count = 1").select("key", "lo", "n").unionByName(
+        open_.filter("count = 1").join(repeated, ["core", "whole"]).select("key", "lo", "n")
+    )
+
+    # round 4: single windows, by pairs of names at the doubled offset
+    rest = classes.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("core", "lo", "n", "count")).alias("_runs"))
     pair_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("core", "first", "second", "key", "start", "count")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(pair_schema)
-        for b in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-            held = 0
-            for key, t, reps in zip(b.column("_key").to_pylist(), b.column("_text"), b.column("_reps").to_pylist(), strict=True):
-                raw = np.frombuffer(t.as_buffer(), np.uint8)
-                for r in reps:
-                    first, second = window_pairs(raw[r["lo"] : r["lo"] + r["n"] - 1 + length], length)
-                    n = len(first)
-                    for p, x in zip(parts, (np.full(n, r["core"]), first, second, np.full(n, key), r["lo"] + np.arange(n), np.full(n, r["count"])), strict=True):
-                        p.append(x)
-                    held += n
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
-                    parts, held = [[] for _ in range(6)], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
-
-    pairs = space.save(staged.filter(F.size("_reps") > 0).select("_key", "_text", "_reps").mapInArrow(windows, pair_schema), "pairs")
+        def rows(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+            for key, t, runs in zip(b.column("_key").to_pylist(), b.column("_text"), b.column("_runs").to_pylist(), strict=True):
+                core, lo, n, count = (np.array([r[c] for r in runs], np.int64) for c in ("core", "lo", "n", "count"))
+                run, first, second, start = window_pairs(np.frombuffer(t.as_buffer(), np.uint8), lo, n, length)
+                yield [core[run], first, second, np.full(len(run), key), start, count[run]]
+
+        yield from _emit(batches, rows, _arrow(pair_schema))
+
+    texts = staged.filter(F.size("_reps") > 0).select("_key", "_text").join(space.save(rest, "rest"), "_key")
+    pairs = space.save(texts.mapInArrow(windows, pair_schema), "pairs")
     twice = pairs.groupBy("core", "first", "second").agg(F.sum("count").alias("c")).filter("c > 1").select("core", "first", "second")
     twice = space.save(twice, "twice")
-    late = pairs.filter("count = 1").join(twice, ["core", "first", "second"]).select("key", "start")
-    late = space.save(late.groupBy(F.col("key").alias("_key")).agg(F.collect_set("start").alias("_late")), "late")
+    late = late.unionByName(pairs.filter("count = 1").join(twice, ["core", "first", "second"]).select("key", F.col("start").alias("lo"), F.lit(1).cast("bigint").alias("n")))
+    late = space.save(late.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("lo", "n")).alias("_late")), "late")
     space.release()
 
     done_schema = T.StructType([*own, *_RESULT])
@@ -278,7 +342,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
         for b in batches:
             out = []
             for t, s, late in zip(b.column("_text"), b.column("_sure").to_pylist(), b.column("_late").to_pylist(), strict=True):
-                spans = [*(s or ()), *({"lo": x, "n": 1} for x in late or ())]
+                spans = [*(s or ()), *(late or ())]
                 out.append(_finish(t.as_buffer().to_pybytes(), spans, length, with_text))
             made = [pa.array([o[i] for o in out], schema.field(len(keep) + i).type) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, schema=schema)
