@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, html_blocks, knn_quality, minhash, mixing, rules, sql, suffix, topk
+from lodestone.llm import bpe, chat, html_blocks, knn_quality, minhash, mixing, passages, rules, sql, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_classes(docs).select("doc_id", "class_id", "n_links")
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_html_extraction": op5_html_extraction,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mix_sources": op9_mix_sources,
