@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     space.release()
 
     # round 2: rank the survivors by all bytes of all their windows
-    alive = space.save(found.join(cores, "core"), "alive")
+    alive = space.save(found.join(cores.hint("merge"), "core"), "alive")
     space.drop("*-anchors")
     space.release()
     open_ = alive.filter(~F.col("single"))
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
             made = [pa.array([o[i] for o in out], schema.field(len(keep) + i).type) for i in range(9)]
             yield pa.RecordBatch.from_arrays(columns + made, schema=schema)
 
-    staged = space.save(docs.join(info, "_key", "left").select(*keep, "_key", "_text", "_sure", "_reps").mapInArrow(settle, staged_schema), "staged")
+    staged = space.save(docs.join(info.hint("merge"), "_key", "left").select(*keep, "_key", "_text", "_sure", "_reps").mapInArrow(settle, staged_schema), "staged")
     space.release()
 
     # round 3: one member of every class, in blocks of windows by distance to the anchor
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
 
         yield from _emit(batches, rows, _arrow(pair_schema))
 
-    texts = staged.filter(F.size("_reps") > 0).select("_key", "_text").join(space.save(rest, "rest"), "_key")
+    texts = staged.filter(F.size("_reps") > 0).select("_key", "_text").join(space.save(rest, "rest").hint("merge"), "_key")
     pairs = space.save(texts.mapInArrow(windows, pair_schema), "pairs")
     twice = pairs.groupBy("core", "first", "second").agg(F.sum("count").alias("c")).filter("c > 1").select("core", "first", "second")
     twice = space.save(twice, "twice")
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
             made = [pa.array([o[i] for o in out], schema.field(len(keep) + i).type) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, schema=schema)
 
-    waiting = staged.filter(F.col("n_bytes").isNull()).join(late, "_key", "left").select(*keep, "_text", "_sure", "_late")
+    waiting = staged.filter(F.col("n_bytes").isNull()).join(late.hint("merge"), "_key", "left").select(*keep, "_text", "_sure", "_late")
     names = [f.name for f in done_schema]
     return staged.filter(F.col("n_bytes").isNotNull()).select(*names).unionByName(waiting.mapInArrow(complete, done_schema))
 
