@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of this package that register queries when imported.
+MODULES = ("consistency", "tables", "time_joins", "search", "texts", "models", "live")
+
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -26,9 +30,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"lodestone.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
