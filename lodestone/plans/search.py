@@ -1 +1,194 @@
-"""Placeholder."""
+"""Retrieval: lexical, vector, hybrid, precedents and training pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import snippet, tokens
+from lodestone.operators import relational as rel
+from lodestone.operators import retrieval
+from lodestone.plans.registry import query
+from lodestone.sources import load
+
+_BM25 = """
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 8),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang = 'en'),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln((s.n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM p, s GROUP BY term, s.n),
+lex AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 4) AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY 1, 2),
+lexr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM lex WHERE score > 0)
+"""
+_VECTORS = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT a.vec_id AS query, b.vec_id AS key, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) + 0.0 AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id {where}),
+vr AS (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INTEGER AS rank FROM c)
+"""
+
+
+def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    asked = load(spark, sf_dir, "benchmark").where("item_id < 8").select("item_id", F.left("text", F.lit(60)).alias("q"))
+    return retrieval.bm25(docs, asked, "doc_id", "text", "item_id", "q", k)
+
+
+def _semantic(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_top_k(v, v.where("vec_id < 8"), "vec_id", "embedding", k)
+
+
+@query("bm25_topk", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lexr WHERE rank <= 20")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir, 20)
+
+
+@query("cosine_topk", f"WITH {_VECTORS.format(where='WHERE a.vec_id < 8')} SELECT query, key, score, rank FROM vr WHERE rank <= 20")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _semantic(spark, sf_dir, 20)
+
+
+@query("knn_edges", f"WITH {_VECTORS.format(where='')} SELECT query AS src, key AS dst, score, rank FROM vr WHERE rank <= 5")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's five nearest others: the edge table of similar items."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_top_k(v, v, "vec_id", "embedding", 5).select(F.col("query").alias("src"), F.col("key").alias("dst"), "score", "rank")
+
+
+@query("rrf_hybrid", f"""
+WITH {_BM25}, {_VECTORS.format(where='WHERE a.vec_id < 8')},
+u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM lexr WHERE rank <= 100 UNION ALL SELECT query, key, 1.0::DOUBLE / (60 + rank) FROM vr WHERE rank <= 100),
+f AS (SELECT item_id, doc_id, round(sum(part), 6) AS rrf_score FROM u GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, doc_id)::INTEGER AS rank FROM f)
+SELECT r.item_id, r.doc_id, r.rrf_score, r.rank, d.lang, d.source FROM r JOIN documents d USING (doc_id) WHERE rank <= 20
+""")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 lexical and 100 vector hits fused, joined to their cards; document and vector ids are one space here."""
+    semantic = _semantic(spark, sf_dir, 100).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "rank")
+    fused = retrieval.fuse([_lexical(spark, sf_dir, 100), semantic], ["item_id"], "doc_id", 20)
+    cards = load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return fused.join(cards, "doc_id").select("item_id", "doc_id", "rrf_score", "rank", "lang", "source")
+
+
+@query("all_terms_match", """
+SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'with')
+    AND (contains(lower(text), 'that') OR contains(lower(source), 'src1'))
+""")
+def all_terms_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    both = retrieval.all_terms(F.col("text"), F.array(F.lit("the"), F.lit("with")))
+    return d.where(both & (F.lower("text").contains("that") | F.lower("source").contains("src1"))).select("doc_id")
+
+
+@query("snippets", """
+WITH q AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+p AS (SELECT *, CASE WHEN instr(low, 'with') > 0 THEN instr(low, 'with') ELSE instr(low, 'the') END AS pos FROM q),
+w AS (SELECT *, greatest(pos - 60, 1) AS a, least(pos + 200, length(text) + 1) AS b FROM p)
+SELECT doc_id, CASE WHEN pos > 0 THEN CASE WHEN a > 1 THEN '…' ELSE '' END || trim(substr(text, a, b - a)) || CASE WHEN b <= length(text) THEN '…' ELSE '' END
+    WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS snippet FROM w
+""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", snippet(F.col("text"), F.array(F.lit("with"), F.lit("the"))).alias("snippet"))
+
+
+_LADDER = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
+
+
+@query("lenient_search", """
+SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM') AND o_orderkey <> 7
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 4
+""")
+def lenient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").where("o_orderkey <> 7")
+    current = {"o_orderstatus": "F", "o_orderpriority": "2-HIGH"}
+    out = retrieval.more_lenient(o, current, "o_orderpriority", _LADDER, ["o_orderstatus"], [F.desc("o_orderdate"), F.col("o_orderkey")], 4)
+    return out.select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
+_POOL = """
+pool AS (SELECT doc_id, source, lang, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('5:' || doc_id), doc_id) <= 12),
+pairs AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b,
+    CASE WHEN a.quality = b.quality THEN 4 ELSE 0 END + CASE WHEN a.lang = b.lang THEN 2 ELSE 0 END + CASE WHEN a.doc_id % 3 <> b.doc_id % 3 THEN 1 ELSE 0 END + CASE WHEN a.n_chars > 700 AND b.n_chars > 700 THEN 1 ELSE 0 END AS score
+    FROM pool a JOIN pool b ON a.source = b.source AND a.doc_id < b.doc_id)
+"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rel.capped(d, ["source"], [rel.seeded_order(F.col("doc_id"), 5), F.col("doc_id")], 12)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir)
+    pairs = rel.unordered_pairs(pool, "doc_id", "source")
+    for side in ("a", "b"):
+        pairs = pairs.join(pool.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("lang", "n_chars", "quality")]), side)
+    score = retrieval.pair_score(
+        F.col("quality_a") == F.col("quality_b"), F.col("lang_a") == F.col("lang_b"), F.col("a") % 3 != F.col("b") % 3, (F.col("n_chars_a") > 700) & (F.col("n_chars_b") > 700)
+    )
+    return pairs.select("source", "a", "b", score.alias("score"))
+
+
+@query("pair_scoring", f"WITH {_POOL} SELECT source, a, b, score FROM pairs QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, a, b) <= 22")
+def pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools are capped per source (a sampling operator), so pairs stay few; the best 22 of a source are accepted."""
+    return rel.capped(_pairs(spark, sf_dir), ["source"], [F.desc("score"), F.col("a"), F.col("b")], 22)
+
+
+@query("pair_validation", """
+WITH p AS (SELECT event_id AS pair_id, (user_id * 7) % 1200 AS a, CASE WHEN event_id % 50 = 0 THEN (user_id * 7) % 1200 ELSE event_id % 1100 END AS b,
+    CASE WHEN event_id % 40 = 0 THEN NULL WHEN event_id % 33 = 0 THEN 'unsure' WHEN event_id % 2 = 0 THEN 'similar' ELSE 'dissimilar' END AS label FROM events),
+c AS (SELECT *, a IN (SELECT doc_id FROM documents) AS ka, b IN (SELECT doc_id FROM documents) AS kb, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY pair_id) AS nth FROM p)
+SELECT coalesce(CASE WHEN a IS NULL OR b IS NULL OR label IS NULL THEN 'schema' WHEN label NOT IN ('similar', 'dissimilar') THEN 'label' WHEN a = b THEN 'self'
+    WHEN NOT ka OR NOT kb THEN 'missing' WHEN nth > 1 THEN 'duplicate' END, 'ok') AS problem, count(*) AS n FROM c GROUP BY 1
+""")
+def pair_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    a = (F.col("user_id") * 7) % 1200
+    b = F.when(F.col("event_id") % 50 == 0, a).otherwise(F.col("event_id") % 1100)
+    label = F.when(F.col("event_id") % 40 == 0, None).when(F.col("event_id") % 33 == 0, "unsure").when(F.col("event_id") % 2 == 0, "similar").otherwise("dissimilar")
+    pairs = e.select(F.col("event_id").alias("pair_id"), a.alias("a"), b.alias("b"), label.alias("label"))
+    checked = retrieval.check_pairs(pairs, load(spark, sf_dir, "documents"), "doc_id", ["similar", "dissimilar"])
+    return checked.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TRIPLETS = """
+pos AS (SELECT a AS anchor, b AS other, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS i FROM pairs WHERE score >= 6),
+neg AS (SELECT a AS anchor, b AS other, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS j, count(*) OVER (PARTITION BY a) AS n FROM pairs WHERE score <= 2),
+tri AS (SELECT p.anchor, p.other AS positive, g.other AS negative FROM pos p JOIN neg g ON g.anchor = p.anchor AND g.j = p.i % g.n)
+"""
+
+
+def _triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select(F.col("a").alias("anchor"), F.col("b").alias("other"), "score")
+    return retrieval.triplets(pairs.where("score >= 6"), pairs.where("score <= 2"))
+
+
+@query("triplets", f"WITH {_POOL}, {_TRIPLETS} SELECT * FROM tri")
+def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _triplets(spark, sf_dir)
+
+
+@query("triplet_accuracy", f"""
+WITH {_POOL}, {_TRIPLETS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT list_cosine_similarity(x.e, p.e) AS sp, list_cosine_similarity(x.e, n.e) AS sn FROM tri JOIN v x ON x.vec_id = anchor JOIN v p ON p.vec_id = positive JOIN v n ON n.vec_id = negative)
+SELECT count(*) AS n, coalesce(sum(CASE WHEN sp > sn THEN 1 ELSE 0 END), 0)::BIGINT AS hits FROM s
+""")
+def triplet_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.functions.numbers import cosine
+
+    t = _triplets(spark, sf_dir)
+    for c in ("anchor", "positive", "negative"):
+        t = t.join(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(c), F.col("embedding").alias(f"v_{c}")), c)
+    hit = cosine(F.col("v_anchor"), F.col("v_positive")) > cosine(F.col("v_anchor"), F.col("v_negative"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+
+
+@query("token_profile", """
+WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)
+SELECT lang, term, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 10
+""")
+def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    return t.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("_r <= 10").drop("_r")

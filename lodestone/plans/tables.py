@@ -147,7 +147,7 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("enrich_multi", """
 WITH l AS (SELECT l_orderkey, max(l_extendedprice) AS top_price, bool_or(l_returnflag = 'R') AS any_returned, avg(l_discount) AS d, count(*) AS n FROM lineitem GROUP BY 1),
 m AS (SELECT l_orderkey, first(l_linestatus ORDER BY n DESC, l_linestatus) AS modal_status FROM (SELECT l_orderkey, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1)
-SELECT o_orderkey, top_price, any_returned, modal_status, round(coalesce(d, 0.0), 4) AS avg_discount, coalesce(n, 0) AS n_lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN m ON m.l_orderkey = o_orderkey
+SELECT o_orderkey, top_price, any_returned, modal_status, round(coalesce(d, 0.0), 6) AS avg_discount, coalesce(n, 0) AS n_lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN m ON m.l_orderkey = o_orderkey
 """)
 def enrich_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
@@ -156,7 +156,7 @@ def enrich_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("mode() WITHIN GROUP (ORDER BY l_linestatus)").alias("modal_status"), F.avg("l_discount").alias("d"), F.count(F.lit(1)).alias("n"),
     )
     out = load(spark, sf_dir, "orders").select("o_orderkey").join(agg, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return out.select("o_orderkey", "top_price", "any_returned", "modal_status", F.round(F.coalesce("d", F.lit(0.0)), 4).alias("avg_discount"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"))
+    return out.select("o_orderkey", "top_price", "any_returned", "modal_status", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("avg_discount"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"))
 
 
 @query("earliest_linked", """
