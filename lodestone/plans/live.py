@@ -1 +1,76 @@
-"""Placeholder."""
+"""Streaming queries over the events table as a file stream, and their batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.plans.registry import query
+from lodestone.sources import load
+from lodestone.streaming import live
+from lodestone.streaming.run import event_stream, run_to_end
+
+#: Longer than the data's span, so that no row is late and batch SQL gives the same rows.
+DELAY = "60 days"
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    """Instants back to times without a zone, the type of the tables."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return run_to_end(live.dedup(e, ["user_id", "event_type", "day"], "ts", DELAY).select("user_id", "event_type", "day"), name="dedup")
+
+
+@query("stream_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = live.tumbling(event_stream(spark, sf_dir), ["event_type"], "ts", "1 day", DELAY)
+    return _plain(run_to_end(w, "complete", "tumbling").withColumn("total", F.round("total", 2)), "start")
+
+
+@query("stream_sliding", """
+WITH s AS (SELECT unnest([time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS]) AS start, event_type FROM events)
+SELECT start, event_type, count(*) AS n FROM s GROUP BY ALL
+""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = live.tumbling(event_stream(spark, sf_dir), ["event_type"], "ts", "12 hours", DELAY, "6 hours")
+    return _plain(run_to_end(w, "complete", "sliding").select("start", "event_type", "n"), "start")
+
+
+@query("stream_session", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS stop, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = live.sessions(event_stream(spark, sf_dir), ["user_id"], "ts", "6 hours", DELAY)
+    return _plain(run_to_end(s, "complete", "sessions"), "start", "stop")
+
+
+@query("stream_interval", """
+SELECT l.event_id AS error_id, r.event_id AS purchase_id FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'error' AND r.event_type = 'purchase'
+    AND r.ts BETWEEN l.ts - INTERVAL 12 HOURS AND l.ts + INTERVAL 1 DAY
+""")
+def stream_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = event_stream(spark, sf_dir).where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
+    r = event_stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("purchase_ts"))
+    joined = live.interval_join(l, r, "user_id", "error_ts", "purchase_ts", "12 hours", "1 day", DELAY)
+    return run_to_end(joined.select("error_id", "purchase_id"), name="interval")
+
+
+@query("stream_alerts", "SELECT event_id, user_id, event_type, c_name, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'error' AND value > 20")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_mktsegment")
+    hit = (F.col("event_type") == "error") & (F.col("value") > 20)
+    out = live.alerts(event_stream(spark, sf_dir), hit, cards, "user_id")
+    return run_to_end(out.select("event_id", "user_id", "event_type", "c_name", "c_mktsegment"), name="alerts")
+
+
+@query("stream_quota", "SELECT user_id, ts::DATE AS day, count(*) AS calls, greatest(count(*) - 4, 0)::BIGINT AS over_limit FROM events GROUP BY ALL")
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    updates = run_to_end(live.quota(e, ["user_id", "day"], 4), "update", "quota")
+    return updates.groupBy("user_id", "day").agg(F.max("calls").alias("calls"), F.max("over").alias("over_limit"))
