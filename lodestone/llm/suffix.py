@@ -357,9 +357,11 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     A character of which any byte goes, goes.
     """
-    out = remove_repeats(docs, text, length)
+    rest = F.struct(*[c for c in docs.columns if c != text]).alias("_lodestone_row")
+    own = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    out = remove_repeats(docs.select(*own, rest, text), text, length)
     kept = F.col("kept")
     # cut characters leave bytes that are no UTF-8: validate, and drop the marks put in their place
     clean = F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
     plain = F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(clean)
-    return out.withColumn(text, plain).select(*docs.columns)
+    return out.select(*[plain.alias(text) if c == text else F.col(f"_lodestone_row.`{c}`").alias(c) for c in docs.columns])
