@@ -27,7 +27,8 @@ def chi_squared_p(chi2: Column, df: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def no_minus_zero(x: Column) -> Column:

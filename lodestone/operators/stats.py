@@ -23,7 +23,7 @@ LADDER = {"NFA": 0.0, "WARN": 1.0, "REP": 2.0, "FINE": 3.0, "DT": 6.0, "SG": 7.0
 def severity(code: Column, ladder: Mapping[str, float] = LADDER) -> Column:
     """Ladder value; "Ns" grows with the logarithm of the seconds below a drive-through; unknown is 0."""
     seconds = F.try_to_number(F.nullif(F.regexp_extract(code, "^([0-9]{1,2})s$", 1), F.lit("")), F.lit("99")).cast("double")
-    timed = F.round(F.least(4.0 + F.log2(seconds / 5.0 + 1e-9), F.lit(5.9)), 2)
+    timed = F.when(seconds.isNotNull(), F.round(F.least(4.0 + F.log2(seconds / 5.0 + 1e-9), F.lit(5.9)), 2))
     table = F.create_map(*[F.lit(x) for kv in ladder.items() for x in kv])
     return F.coalesce(F.element_at(table, code), timed, F.lit(0.0))
 
