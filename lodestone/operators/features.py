@@ -107,3 +107,55 @@ def latest_share(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """Rows of each key's newest group only."""
     newest = F.max(F.struct(*order)).over(Window.partitionBy(*keys))
     return df.where(F.struct(*order) == newest)
+
+
+def platt(train: DataFrame, score: str, label: str):
+    """A logistic fit of the label on one score: sigmoid calibration."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="_s"), LogisticRegression(featuresCol="_s", labelCol=label, probabilityCol="calibrated", rawPredictionCol="_raw", predictionCol="_guess")]).fit(train)
+
+
+def stack(train: DataFrame, parts: Sequence[str], label: str):
+    """A multinomial logistic fit over the concatenated class distributions of several models."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=list(parts), outputCol="_stack"), LogisticRegression(featuresCol="_stack", labelCol=label, family="multinomial")]).fit(train)
+
+
+def two_clusters(df: DataFrame, group: str, key: str, vector: str, most: int = 2000) -> DataFrame:
+    """(group, key, cluster): average-link clustering of unit vectors into two, the larger one is 0.
+
+    Groups are the clips of one speaker; those over ``most`` rows raise, as the method is quadratic in a group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("key")
+        n = len(frame)
+        if n > most:
+            raise ValueError(f"a group has {n} rows; average linkage takes {most} at most")
+        x = np.array(frame["vector"].tolist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        far = 1 - x @ x.T
+        np.fill_diagonal(far, np.inf)
+        size, owner = np.ones(n), np.arange(n)
+        for _ in range(n - 2):
+            i, j = sorted(divmod(int(far.argmin()), n))
+            merged = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
+            far[i], far[:, i] = merged, merged
+            far[i, i] = np.inf
+            far[j], far[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            owner[owner == j] = i
+        names, counts = np.unique(owner, return_counts=True)
+        rank = {names[k]: r for r, k in enumerate(np.lexsort((names, -counts)))}
+        return pd.DataFrame({"grp": frame["grp"], "key": frame["key"], "cluster": [rank[o] for o in owner]})
+
+    rows = df.select(F.col(group).cast("bigint").alias("grp"), F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    return rows.groupBy("grp").applyInPandas(cluster, "grp bigint, key bigint, cluster int")

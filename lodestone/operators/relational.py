@@ -138,3 +138,14 @@ def ordered_case(rules: Mapping[str, Column], default: str) -> Column:
     for name, condition in reversed(list(rules.items())):
         out = F.when(condition, F.lit(name)).otherwise(out)
     return out
+
+
+def match_fragment(df: DataFrame, text: Column, fragments: DataFrame, value: str, key: str) -> DataFrame:
+    """``df`` with the value of the first fragment (by ``place``) contained in the text, case aside.
+
+    fragments: (fragment, place, value), a small rule table; it is broadcast by Spark's size check.
+    """
+    rows = df.withColumn("_text", F.lower(text))
+    hits = rows.select(key, "_text").join(fragments, F.col("_text").contains(F.lower("fragment")))
+    best = hits.groupBy(key).agg(F.min_by(value, "place").alias(value))
+    return rows.drop("_text").join(best, key, "left")

@@ -149,3 +149,47 @@ def triplets(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     sizes = negatives.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     p = p.join(sizes, "anchor").withColumn("j", (F.col("i") % F.col("n")).cast("int"))
     return p.join(n, ["anchor", "j"]).select("anchor", "positive", "negative")
+
+
+def negative_samples(anchors: DataFrame, own: DataFrame, pool: DataFrame, seed: int, everything: DataFrame) -> DataFrame:
+    """(anchor, negative): an own negative if there is one, else one of the pool, else any document.
+
+    anchors: (anchor); own: (anchor, other); pool and everything: (other). Draws are by a seeded hash
+    ring: the first candidate whose hash follows the anchor's, so no anchor meets every candidate.
+    """
+    first = own.groupBy("anchor").agg(F.min_by("other", F.xxhash64("other", F.lit(seed))).alias("own"))
+    pick = lambda c: c.agg(F.min_by("other", F.xxhash64("other", F.lit(seed))).alias("_a"), F.max_by("other", F.xxhash64("other", F.lit(seed))).alias("_b"))
+    p = pick(pool).select(F.col("_a").alias("p1"), F.col("_b").alias("p2"))
+    e = pick(everything).select(F.col("_a").alias("e1"), F.col("_b").alias("e2"))
+    out = anchors.join(first, "anchor", "left").crossJoin(F.broadcast(p)).crossJoin(F.broadcast(e))
+    other = lambda a, b: F.when(F.col(a) != F.col("anchor"), F.col(a)).otherwise(F.col(b))
+    return out.select("anchor", F.coalesce("own", other("p1", "p2"), other("e1", "e2")).alias("negative"))
+
+
+def pair_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str, markers: Sequence[str], most: int = 600) -> DataFrame:
+    """(a, b, label, text_a, text_b): each text from its first marker that occurs, else from its start."""
+    at = F.coalesce(*[F.nullif(F.instr(F.col(text), m), F.lit(0)) for m in markers], F.lit(1))
+    cut = docs.select(F.col(key).alias("_k"), F.substring(F.col(text), at, F.lit(most)).alias("_t"))
+    out = pairs.join(cut.select(F.col("_k").alias("a"), F.col("_t").alias("text_a")), "a")
+    return out.join(cut.select(F.col("_k").alias("b"), F.col("_t").alias("text_b")), "b").select("a", "b", "label", "text_a", "text_b")
+
+
+def adjudicate(pairs: DataFrame) -> DataFrame:
+    """Adds flip (verdict differs from the proposal) and flagged (flip, low confidence or dropped)."""
+    flip = F.coalesce(F.col("verdict") != F.col("proposed"), F.lit(True))
+    low = F.coalesce(F.col("confidence") == "low", F.lit(False))
+    return pairs.withColumn("flip", flip).withColumn("flagged", flip | low | F.coalesce(F.col("verdict") == "drop", F.lit(False)))
+
+
+def hard_pair_score(same_code: Column, one_free: Column, cross_season: Column) -> Column:
+    """Score of a pair as a hard negative: +3 codes differ, +2 one went free, +1 another season."""
+    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    return flag(~same_code, 3) + flag(one_free, 2) + flag(cross_season, 1)
+
+
+def numbered_list(rows: DataFrame, by: Sequence[str], order: str, line: Column) -> DataFrame:
+    """(by, document): lines as a numbered list, for a template."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    numbered = rows.select(*by, nth.alias("_n"), line.alias("_line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda s: F.concat(s["_n"].cast("string"), F.lit(". "), s["_line"]))
+    return numbered.groupBy(*by).agg(F.array_join(lines, "\n").alias("document"))

@@ -63,19 +63,24 @@ def k_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_key:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, order: str) -> DataFrame:
-    """Every left row with the last right row that begins at or before it: one sorted pass over both.
+def backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, order: str, width: float = 86400.0) -> DataFrame:
+    """Every left row with the last right row that begins at or before it.
 
     Right columns (but the keys) come as ``last_<name>``; null where nothing came before. ``order``
-    is a numeric column of ``right`` that orders rows of equal time.
+    is a numeric column of ``right`` that orders rows of equal time. Rows are sorted within (key,
+    time bucket); what the buckets before hold is one row a bucket, so a hot key is no hot task.
     """
     own = [c for c in right.columns if c not in keys]
-    packed = F.struct(*own)
     l = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_order"), F.struct(*left.columns).alias("_left"))
-    r = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(order).cast("double").alias("_order"), packed.alias("_right"))
+    r = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(order).cast("double").alias("_order"), F.struct(*own).alias("_right"))
     both = l.unionByName(r, allowMissingColumns=True).where(F.col("_ts").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    both = both.withColumn("_bucket", F.floor(seconds(F.col("_ts")) / width))
+    carried = both.groupBy(*keys, "_bucket").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_ts", "_order"))).alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select(*keys, "_bucket", F.last("_in", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last("_right", ignorenulls=True).over(within)).where("_side = 1")
+    both = both.join(carried, [*keys, "_bucket"]).withColumn("_last", F.coalesce("_last", "_carried"))
     return both.select("_left.*", *[F.col(f"_last.{c}").alias(f"last_{c}") for c in own])
 
 

@@ -192,3 +192,43 @@ SELECT lang, term, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER B
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     return t.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("_r <= 10").drop("_r")
+
+
+@query("session_matching", """
+WITH f AS (SELECT * FROM (VALUES ('page', 1, 'A'), ('example', 2, 'B'), ('th', 3, 'C')) t(fragment, place, kind)),
+h AS (SELECT page_id, first(kind ORDER BY place) AS kind FROM pages JOIN f ON contains(lower(regexp_extract(url, '//([^/]+)', 1) || regexp_extract(url, '[?](.*)$', 1)), fragment) GROUP BY 1)
+SELECT page_id, kind FROM pages LEFT JOIN h USING (page_id)
+""")
+def session_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("page", 1, "A"), ("example", 2, "B"), ("th", 3, "C")], "fragment string, place int, kind string")
+    text = F.concat(F.regexp_extract("url", "//([^/]+)", 1), F.regexp_extract("url", "[?](.*)$", 1))
+    return rel.match_fragment(load(spark, sf_dir, "pages").select("page_id", "url"), text, rules, "kind", "page_id").select("page_id", "kind")
+
+
+@query("pair_texts", f"""
+WITH {_POOL}, p AS (SELECT a, b, CASE WHEN score >= 6 THEN 'similar' ELSE 'dissimilar' END AS label FROM pairs WHERE score >= 6 OR score <= 2),
+c AS (SELECT doc_id, substr(text, coalesce(nullif(instr(text, '. '), 0), nullif(instr(text, ', '), 0), 1)::BIGINT, 600) AS t FROM documents)
+SELECT a, b, label, md5(x.t) AS text_a, md5(y.t) AS text_b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b
+""")
+def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).where("score >= 6 OR score <= 2").select("a", "b", F.when(F.col("score") >= 6, "similar").otherwise("dissimilar").alias("label"))
+    out = retrieval.pair_texts(pairs, load(spark, sf_dir, "documents"), "doc_id", "text", [". ", ", "])
+    return out.select("a", "b", "label", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"))
+
+
+@query("negative_samples")
+def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: draws are by a hash that SQL engines do not share."""
+    pairs = _pairs(spark, sf_dir)
+    own = pairs.where("score <= 2").select(F.col("a").alias("anchor"), F.col("b").alias("other"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"))
+    return retrieval.negative_samples(pairs.select(F.col("a").alias("anchor")).distinct(), own, own.select("other"), 3, docs)
+
+
+@query("two_voices")
+def two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average-link clusters of each label's first 60 vectors (rows-only)."""
+    from lodestone.operators.features import two_clusters
+
+    v = rel.first_per_key(load(spark, sf_dir, "embeddings"), ["label"], [F.col("vec_id")], 60)
+    return two_clusters(v, "label", "vec_id", "embedding").withColumnsRenamed({"grp": "label", "key": "vec_id"})

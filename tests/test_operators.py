@@ -175,3 +175,31 @@ def test_jsonl_and_links(spark, tmp_path):
     assert [(r.href, r.title) for r in got] == [("/2024_a/d.PDF", "Decision 4")]
     assert [(r.value, r.name) for r in jsonl.select_options(pages).collect()] == [("/s", "2024")]
     assert pages.select(jsonl.season_of_url(F.lit("https://x/2024_round/a"))).first()[0] == 2024
+
+
+def test_clusters_and_negatives(spark):
+    rows = [(1, i, [1.0, 0.01 * i]) for i in range(4)] + [(1, 9, [0.0, 1.0]), (1, 10, [0.1, 1.0]), (2, 1, [1.0, 0.0])]
+    got = {(r.grp, r.key): r.cluster for r in features.two_clusters(spark.createDataFrame(rows, "g int, k int, v array<double>"), "g", "k", "v").collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 9): 1, (1, 10): 1, (2, 1): 0}
+    anchors = spark.createDataFrame([(1,), (2,)], "anchor int")
+    own = spark.createDataFrame([(1, 7)], "anchor int, other int")
+    pool = spark.createDataFrame([(2,), (5,)], "other int")
+    got = {r.anchor: r.negative for r in retrieval.negative_samples(anchors, own, pool, 1, pool).collect()}
+    assert got == {1: 7, 2: 5}
+    none = retrieval.negative_samples(anchors, own.limit(0), pool.limit(0), 1, pool)
+    assert {r.negative for r in none.where("anchor = 2").collect()} == {5}
+
+
+def test_adjudication_and_lists(spark):
+    df = spark.createDataFrame([("similar", "similar", "high"), ("similar", "drop", "high"), ("similar", "similar", "low")], "proposed string, verdict string, confidence string")
+    assert [(r.flip, r.flagged) for r in retrieval.adjudicate(df).collect()] == [(False, False), (True, True), (False, True)]
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x")], "g string, o int, t string")
+    assert retrieval.numbered_list(rows, ["g"], "o", F.col("t")).first().document == "1. x\n2. y"
+
+
+def test_calibration_of_scores(spark):
+    df = spark.createDataFrame([(i / 100, float(i > 50 or i % 7 == 0)) for i in range(100)], "s double, y double")
+    out = features.platt(df, "s", "y").transform(df).select("s", F.element_at(F.udf(lambda v: v.toArray().tolist(), "array<double>")("calibrated"), 2).alias("p")).orderBy("s").collect()
+    assert out[0].p < 0.5 < out[-1].p
+    bins = features.calibration_bins(spark.createDataFrame([(1.0, 1), (0.95, 1), (0.95, 0)], "p double, y int"), "p", F.col("y") == 1).collect()
+    assert [(r.bin, r.n, r.accuracy) for r in bins] == [(9, 2, 0.5)]
