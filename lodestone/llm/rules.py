@@ -90,7 +90,7 @@ def base_failed() -> Column:
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("symbols", lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("long_words", lambda t: (F.col("word_chars") > 30 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-    Rule("repeated_lines", lambda t: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+    Rule("repeated_lines", lambda t: 2 * F.col("n_dup_lines") > F.col("n_lines")),
     Rule("shouting", lambda t: 2 * F.regexp_count(F.col(t), F.lit(r"(?<![^\x20\x09-\x0D])[^\p{Ll}\x20\x09-\x0D]*\p{Lu}[^\p{Ll}\x20\x09-\x0D]*(?![^\x20\x09-\x0D])")) > F.col("n_words")),
     Rule("exclamations", lambda t: 10 * F.regexp_count(F.col(t), F.lit("!")) > 3 * F.col("n_words")),
     Rule("no_letters", lambda t: 2 * F.regexp_count(F.col(t), F.lit(r"\p{L}[^\x20\x09-\x0D]*")) < F.col("n_words")),

@@ -29,7 +29,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT (base_failed
         OR 10 * n_symbols > n_words
         OR word_chars > 30 * n_words OR word_chars < 2 * n_words
-        OR 10 * n_dup_lines > 3 * n_lines
+        OR 2 * n_dup_lines > n_lines
         OR 2 * len(list_filter(words, lambda x: regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))) > n_words
         OR 10 * len(regexp_extract_all(t, '!')) > 3 * n_words
         OR 2 * len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) < n_words
