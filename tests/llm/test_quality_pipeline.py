@@ -1,8 +1,17 @@
+import hashlib
 import random
+import struct
 import zlib
+from collections import Counter
 
+import duckdb
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline as cp
+from lodestone.llm import bpe, minhash, registry, sql
 from lodestone.llm import knn_quality as kq
-from lodestone.llm import registry
+from lodestone.llm.common import SPACE_CHARS
 
 
 def test_held_out_accuracy(spark):
@@ -31,9 +40,50 @@ def test_scores_of_odd_rows(spark, odd, nothing):
     assert {r.score for r in kq.score(odd, untaught).collect()} == {0.5}
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as cp
+def brute_pipeline(sf):
+    """The pipeline without Spark: SQL for rules and mixing, all pairs, all strings, a reference tokenizer."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    kept = {r[0] for r in con.sql(f"SELECT doc_id FROM ({sql.OP2}) WHERE kept").fetchall()}
+    docs = [r for r in con.sql("SELECT doc_id, text, source FROM documents").fetchall() if r[0] in kept]
+    root = {r[0]: r[0] for r in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [minhash.word_ids(r[1] or "").astype("int64") for r in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i)]
+    near = minhash.similar([(ids[i], ids[j]) for i, j in pairs])
+    for (i, j), same in zip(pairs, near, strict=True):
+        if same or docs[i][1] == docs[j][1]:
+            a, b = find(docs[i][0]), find(docs[j][0])
+            root[max(a, b)] = min(a, b)
+    docs = [r for r in docs if find(r[0]) == r[0]]
+    raw = [(r[1] or "").encode() for r in docs]
+    count = Counter(t[p : p + 200] for t in raw for p in range(len(t) - 199))
+    left = []
+    for t in raw:
+        cover = bytearray(len(t))
+        for p in range(len(t) - 199):
+            if count[t[p : p + 200]] > 1:
+                cover[p : p + 200] = b"\1" * 200
+        left.append(bytes(x for x, c in zip(t, cover, strict=True) if not c).decode(errors="ignore"))
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], t, r[2]) for r, t in zip(docs, left, strict=True)])
+    mixed = con.sql(f"SELECT m.doc_id, taken // size, text FROM ({sql.OP9}) m JOIN documents d ON d.doc_id = m.doc_id WHERE size > 0").fetchall()
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for i, times, text in mixed:
+        tokens = reference.encode_ordinary(text)
+        out += [(i, len(tokens), hashlib.sha256(struct.pack(f"<{len(tokens)}I", *tokens)).hexdigest())] * times
+    return sorted(out)
+
 
+def test_pipeline_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
@@ -41,9 +91,9 @@ def test_pipeline_stages(spark):
         out = stage(spark, before, sf)
         assert out.columns == docs.columns, name
         before = out.cache()
-    out = cp.run(spark, sf)
-    assert out.count() == before.count() > 0
-    assert "n_tokens" in out.columns
+    worded = {r.doc_id for r in before.collect() if r.text.strip(SPACE_CHARS)}
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in cp.run(spark, sf).collect() if r.doc_id in worded)
+    assert got == brute_pipeline(sf)
 
 
 def test_every_query_runs(spark):
