@@ -116,7 +116,7 @@ def snippet(text: Column, terms: Column, before: int = 60, after: int = 200) ->
 
 def cue_count(text: Column, words: Sequence[str]) -> Column:
     """How often any of the words occurs, case aside."""
-    return F.regexp_count(F.lower(text), F.lit(r"\b(" + "|".join(words) + r")\b"))
+    return F.regexp_count(F.lower(text), F.lit(r"(?U)\b(" + "|".join(words) + r")\b"))
 
 
 def urgency(text: Column, high: Sequence[str], low: Sequence[str]) -> Column:
@@ -131,7 +131,7 @@ def sentiment(text: Column, negative: Sequence[str], calm: Sequence[str]) -> Col
 
 def loudness(text: Column, cues: Sequence[str]) -> Column:
     """Cues, exclamation marks and words in capitals on a scale to 1."""
-    raw = (cue_count(text, cues) + 0.5 * F.regexp_count(text, F.lit("!")) + 0.3 * F.regexp_count(text, F.lit(r"\b[A-Z]{3,}\b"))) / 4.0
+    raw = (cue_count(text, cues) + 0.5 * F.regexp_count(text, F.lit("!")) + 0.3 * F.regexp_count(text, F.lit(r"(?U)\b[A-Z]{3,}\b"))) / 4.0
     return F.round(F.least(raw, F.lit(1.0)), 3)
 
 

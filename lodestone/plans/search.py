@@ -12,8 +12,8 @@ from lodestone.plans.registry import query
 from lodestone.sources import load
 
 _BM25 = """
-q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 8),
-t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang = 'en'),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
 s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 w AS (SELECT term, ln((s.n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM p, s GROUP BY term, s.n),
@@ -28,14 +28,16 @@ vr AS (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    asked = load(spark, sf_dir, "benchmark").where("item_id < 8").select("item_id", F.left("text", F.lit(60)).alias("q"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     return retrieval.bm25(docs, asked, "doc_id", "text", "item_id", "q", k)
 
 
 def _semantic(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Vectors near those of the benchmark items (items and vectors share ids here)."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return retrieval.vector_top_k(v, v.where("vec_id < 8"), "vec_id", "embedding", k)
+    asked = v.join(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return retrieval.vector_top_k(v, asked, "vec_id", "embedding", k)
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lexr WHERE rank <= 20")
@@ -43,7 +45,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, 20)
 
 
-@query("cosine_topk", f"WITH {_VECTORS.format(where='WHERE a.vec_id < 8')} SELECT query, key, score, rank FROM vr WHERE rank <= 20")
+@query("cosine_topk", f"WITH {_VECTORS.format(where='WHERE a.vec_id IN (SELECT item_id FROM benchmark)')} SELECT query, key, score, rank FROM vr WHERE rank <= 20")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _semantic(spark, sf_dir, 20)
 
@@ -56,7 +58,7 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rrf_hybrid", f"""
-WITH {_BM25}, {_VECTORS.format(where='WHERE a.vec_id < 8')},
+WITH {_BM25}, {_VECTORS.format(where='WHERE a.vec_id IN (SELECT item_id FROM benchmark)')},
 u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM lexr WHERE rank <= 100 UNION ALL SELECT query, key, 1.0::DOUBLE / (60 + rank) FROM vr WHERE rank <= 100),
 f AS (SELECT item_id, doc_id, round(sum(part), 6) AS rrf_score FROM u GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, doc_id)::INTEGER AS rank FROM f)
@@ -223,12 +225,3 @@ def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pairs.where("score <= 2").select(F.col("a").alias("anchor"), F.col("b").alias("other"))
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"))
     return retrieval.negative_samples(pairs.select(F.col("a").alias("anchor")).distinct(), own, own.select("other"), 3, docs)
-
-
-@query("two_voices")
-def two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average-link clusters of each label's first 60 vectors (rows-only)."""
-    from lodestone.operators.features import two_clusters
-
-    v = rel.first_per_key(load(spark, sf_dir, "embeddings"), ["label"], [F.col("vec_id")], 60)
-    return two_clusters(v, "label", "vec_id", "embedding").withColumnsRenamed({"grp": "label", "key": "vec_id"})

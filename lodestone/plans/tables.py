@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import natural_key
 from lodestone.operators import relational as rel
 from lodestone.plans.registry import query
 from lodestone.sources import load
@@ -71,33 +72,35 @@ def latest_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("insert_ignore", """
-WITH stored AS (SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
-new AS (SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1)
-SELECT * FROM stored UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.user_id = n.user_id AND s.event_type = n.event_type)
+WITH e AS (SELECT event_id, user_id, ts::DATE AS day, event_type FROM events),
+stored AS (SELECT * FROM e WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) = 1),
+new AS (SELECT * FROM e WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) = 1)
+SELECT * FROM stored UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.user_id = n.user_id AND s.day = n.day)
 """)
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    key, order = ["user_id", "event_type"], [F.col("event_id")]
-    stored = rel.first_per_key(e.where("event_id % 2 = 0"), key, order)
-    return rel.insert_ignore(stored, e.where("event_id % 2 = 1"), key, order)
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type")
+    key, order = ["user_id", "day"], [F.col("event_id")]
+    stored = rel.first_per_key(e.where("event_type = 'view'"), key, order)
+    return rel.insert_ignore(stored, e.where("event_type <> 'view'"), key, order)
 
 
 @query("upsert_latest", """
-WITH u AS (SELECT user_id, event_type, event_id AS version, value, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS is_new FROM events)
-SELECT user_id, event_type, version, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY version DESC, is_new DESC) = 1
+WITH u AS (SELECT user_id, ts::DATE AS day, event_id AS version, value, (event_type = 'purchase')::INTEGER AS is_new FROM events)
+SELECT user_id, day, version, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY version DESC, is_new DESC) = 1
 """)
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("version"), "value")
-    return rel.upsert(e.where("version % 3 <> 0"), e.where("version % 3 = 0"), ["user_id", "event_type"], "version")
+    e = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.col("event_id").alias("version"), "value", "event_type")
+    stored, new = (e.where(c).drop("event_type") for c in ("event_type <> 'purchase'", "event_type = 'purchase'"))
+    return rel.upsert(stored, new, ["user_id", "day"], "version")
 
 
 @query("keyed_update", """
-WITH v AS (SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_suppkey % 5 = 0)
+WITH v AS (SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_acctbal < 0)
 SELECT s.s_suppkey, s.s_name, coalesce(v.s_acctbal, s.s_acctbal) AS s_acctbal FROM supplier s LEFT JOIN v USING (s_suppkey)
 """)
 def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    return rel.keyed_update(s, s.where("s_suppkey % 5 = 0").select("s_suppkey", (F.col("s_acctbal") * 2).alias("s_acctbal")), "s_suppkey", ["s_acctbal"])
+    return rel.keyed_update(s, s.where("s_acctbal < 0").select("s_suppkey", (F.col("s_acctbal") * 2).alias("s_acctbal")), "s_suppkey", ["s_acctbal"])
 
 
 @query("replace_keys", """
@@ -169,11 +172,11 @@ def earliest_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("carry_forward", """
-WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN left(text, 40) END AS heading FROM conversations)
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text END AS heading FROM conversations)
 SELECT conv_id, turn, role, last_value(heading IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM c
 """)
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.left("text", F.lit(40))).alias("heading"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.col("text")).alias("heading"))
     return rel.carry_forward(c, "heading", ["conv_id"], ["turn"])
 
 
@@ -230,11 +233,10 @@ def linked_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.col("at").isNull() | recent).select("p_partkey").distinct().orderBy("p_partkey").limit(2000)
 
 
-@query("natural_sort", """
-SELECT p_partkey, p_size, row_number() OVER (ORDER BY (regexp_extract(p_name, '(\\d+)', 1)) , p_size, p_partkey)::INTEGER AS place FROM part QUALIFY place <= 100
+@query("natural_sort", r"""
+SELECT p_partkey, p_brand, array_to_string(list_transform(regexp_extract_all(p_brand, '(\d+)', 1), lambda x: lpad(x, 6, '0')), '.') AS sort_key FROM part ORDER BY sort_key, p_partkey
 """)
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select("p_partkey", "p_size", F.regexp_extract("p_name", r"(\d+)", 1).alias("_n"))
-    order = [F.col("_n"), F.col("p_size"), F.col("p_partkey")]
-    top = p.orderBy(*order).limit(100)
-    return top.withColumn("place", F.row_number().over(rel.Window.orderBy(*order))).select("p_partkey", "p_size", "place")
+    """Numbers inside names ordered as numbers."""
+    parts = F.transform(natural_key(F.col("p_brand")), lambda x: F.lpad(x.cast("string"), 6, "0"))
+    return load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_join(parts, ".").alias("sort_key")).orderBy("sort_key", "p_partkey")

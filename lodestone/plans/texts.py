@@ -84,16 +84,16 @@ HIGH, LOW, NEGATIVE = ("ther", "enth", "ation", "wh"), ("the", "of"), ("er", "th
 
 
 @query("radio_scores", r"""
-WITH c AS (SELECT conv_id, turn, lower(text) AS t, text FROM conversations),
-h AS (SELECT conv_id, turn, text, len(regexp_extract_all(t, '\b(ther|enth|ation|wh)\b')) AS hi, len(regexp_extract_all(t, '\b(the|of)\b')) AS lo, len(regexp_extract_all(t, '\b(er|thing)\b')) AS neg, len(regexp_extract_all(text, '!')) AS ex, len(regexp_extract_all(text, '\b[A-Z]{3,}\b')) AS caps FROM c)
+WITH c AS (SELECT conv_id, turn, text, string_split_regex(lower(text), '[^\p{L}\p{N}_]+') AS w, string_split_regex(text, '[^\p{L}\p{N}_]+') AS raw FROM conversations),
+h AS (SELECT conv_id, turn, len(list_filter(w, lambda x: x IN ('ther', 'enth', 'ation', 'wh'))) AS hi, len(list_filter(w, lambda x: x IN ('the', 'of'))) AS lo, len(list_filter(w, lambda x: x IN ('er', 'thing'))) AS neg,
+    len(regexp_extract_all(text, '!')) AS ex, len(list_filter(raw, lambda x: regexp_full_match(x, '[A-Z]{3,}'))) AS caps FROM c)
 SELECT conv_id, turn, round(least(greatest(0.25::DOUBLE * hi - 0.1::DOUBLE * lo, 0.0), 1.0), 3) AS urgency,
     round(least(greatest(-0.3::DOUBLE * neg + CASE WHEN lo > 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, -1.0), 1.0), 3) AS sentiment,
-    round(least((hi + 0.5::DOUBLE * ex + 0.3::DOUBLE * caps) / 4.0::DOUBLE, 1.0), 3) AS loudness FROM h WHERE NOT regexp_matches(text, '[^\x00-\x7F]')
+    round(least((hi + 0.5::DOUBLE * ex + 0.3::DOUBLE * caps) / 4.0::DOUBLE, 1.0), 3) AS loudness FROM h
 """)
 def radio_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    c = load(spark, sf_dir, "conversations").where(~t.rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", tx.urgency(t, HIGH, LOW).alias("urgency"), tx.sentiment(t, NEGATIVE, LOW).alias("sentiment"), tx.loudness(t, HIGH).alias("loudness"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", tx.urgency(t, HIGH, LOW).alias("urgency"), tx.sentiment(t, NEGATIVE, LOW).alias("sentiment"), tx.loudness(t, HIGH).alias("loudness"))
 
 
 @query("speaker_roles", """
@@ -110,16 +110,16 @@ def speaker_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("content_keys", r"""
-SELECT doc_id, left(sha256(text), 16) AS key, left(regexp_replace(regexp_replace(left(text, 90), '[^A-Za-z0-9 _-]', '_', 'g'), '\s+', '_', 'g'), 80) || '-' || left(sha256(text), 16) AS name FROM documents
+SELECT doc_id, left(sha256(text), 16) AS key, left(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 _-]', '_', 'g'), '\s+', '_', 'g'), 80) || '-' || left(sha256(text), 16) AS name FROM documents
 """)
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select("doc_id", F.left(F.sha2(t, 256), F.lit(16)).alias("key"), tx.content_name(F.left(t, F.lit(90)), t).alias("name"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.left(F.sha2(t, 256), F.lit(16)).alias("key"), tx.content_name(t, t).alias("name"))
 
 
-@query("accent_keys", "SELECT doc_id, regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœ', 'aaaaaaceeeeiiiinoooooouuuuyyszo'), '[^a-z0-9]', '', 'g') AS key FROM documents")
+@query("accent_keys", "SELECT doc_id, regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœ', 'aaaaaaceeeeiiiinoooooouuuuyyszo'), '[^a-z0-9]', '', 'g') AS key FROM documents")
 def accent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", tx.fold_accents(F.left("text", F.lit(60))).alias("key"))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.fold_accents(F.col("text")).alias("key"))
 
 
 @query("line_sections", r"""

@@ -56,11 +56,11 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("step_change", """
-WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 3)
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag <> 'R')
 SELECT a.l_orderkey, a.l_linenumber, b.l_quantity - a.l_quantity AS change FROM s a LEFT JOIN s b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber - 1
 """)
 def step_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").where("l_linenumber <> 3").select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = load(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
     return temporal.change_before(rows, ["l_orderkey"], "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", "change")
 
 
