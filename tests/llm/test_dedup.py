@@ -220,6 +220,19 @@ def test_passages_found_and_clean_left_alone(spark):
     assert got[20].class_id == got[30].class_id == 20 and got[30].n_repeat_words == got[30].n_words
 
 
+def test_failed_chains_are_split(spark):
+    rng = random.Random(21)
+    p, q, before, behind = words(rng, 60), words(rng, 60), words(rng, 150), words(rng, 150)
+    # two passages with 90 words of their own between them, and a copy with 100 words inserted
+    rows = [(i, " ".join(words(rng, 70) + p + words(rng, 90) + q + words(rng, 70))) for i in range(2)]
+    rows += [(2, " ".join(before + behind)), (3, " ".join(before + words(rng, 100) + behind)), (4, " ".join(words(rng, 200)))]
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(2):
+        assert 114 <= got[i].n_repeat_words <= 132
+        assert all(any(abs(s.start - at) <= 6 and abs(s.stop - at - 60) <= 6 for s in got[i].spans) for at in (70, 220))
+    assert got[2].n_repeat_words >= 295 and 295 <= got[3].n_repeat_words <= 312 and got[4].n_repeat_words == 0
+
+
 def test_passages_odd_rows(odd, nothing):
     got = ps.repeated_passages(odd).collect()
     assert len(got) == odd.count()
