@@ -233,6 +233,18 @@ def test_failed_chains_are_split(spark):
     assert got[2].n_repeat_words >= 295 and 295 <= got[3].n_repeat_words <= 312 and got[4].n_repeat_words == 0
 
 
+def test_passage_several_times_in_a_text(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(0, 8, 2):  # either text of a pair can be the leader
+        p = words(rng, 60)
+        rows.append((i, " ".join(sum((words(rng, 80) + p for _ in range(3)), []))))
+        rows.append((i + 1, " ".join(words(rng, 80) + p + words(rng, 40))))
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(0, 8, 2):
+        assert len(got[i].spans) == 3 and 174 <= got[i].n_repeat_words <= 198 and 58 <= got[i + 1].n_repeat_words <= 66
+
+
 def test_passages_odd_rows(odd, nothing):
     got = ps.repeated_passages(odd).collect()
     assert len(got) == odd.count()
