@@ -154,16 +154,37 @@ def triplets(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def negative_samples(anchors: DataFrame, own: DataFrame, pool: DataFrame, seed: int, everything: DataFrame) -> DataFrame:
     """(anchor, negative): an own negative if there is one, else one of the pool, else any document.
 
-    anchors: (anchor); own: (anchor, other); pool and everything: (other). Draws are by a seeded hash
-    ring: the first candidate whose hash follows the anchor's, so no anchor meets every candidate.
+    anchors: (anchor); own: (anchor, other); pool and everything: (other). Candidates are numbered by
+    a seeded hash and each anchor draws a place by its own hash, the next place if that is the anchor
+    itself; so no anchor meets every candidate. An anchor without any other candidate has a null.
     """
     first = own.groupBy("anchor").agg(F.min_by("other", F.xxhash64("other", F.lit(seed))).alias("own"))
-    pick = lambda c: c.agg(F.min_by("other", F.xxhash64("other", F.lit(seed))).alias("_a"), F.max_by("other", F.xxhash64("other", F.lit(seed))).alias("_b"))
-    p = pick(pool).select(F.col("_a").alias("p1"), F.col("_b").alias("p2"))
-    e = pick(everything).select(F.col("_a").alias("e1"), F.col("_b").alias("e2"))
-    out = anchors.join(first, "anchor", "left").crossJoin(F.broadcast(p)).crossJoin(F.broadcast(e))
-    other = lambda a, b: F.when(F.col(a) != F.col("anchor"), F.col(a)).otherwise(F.col(b))
-    return out.select("anchor", F.coalesce("own", other("p1", "p2"), other("e1", "e2")).alias("negative"))
+    out = anchors.join(first, "anchor", "left")
+    for name, candidates in (("p", pool), ("e", everything)):
+        ring, size = _ring(candidates, seed)
+        out = out.crossJoin(F.broadcast(size))
+        at = F.when(F.col("_n") > 0, F.pmod(F.xxhash64("anchor", F.lit(seed), F.lit(name)), F.nullif("_n", F.lit(0))))
+        out = out.withColumn("_at", at).withColumn("_next", F.when(F.col("_n") > 0, F.pmod(F.col("_at") + 1, F.nullif("_n", F.lit(0)))))
+        out = out.join(ring.select(F.col("_place").alias("_at"), F.col("other").alias("_one")), "_at", "left")
+        out = out.join(ring.select(F.col("_place").alias("_next"), F.col("other").alias("_two")), "_next", "left")
+        drawn = F.when(F.col("_one") != F.col("anchor"), F.col("_one")).when(F.col("_two") != F.col("anchor"), F.col("_two"))
+        out = out.withColumn(name, drawn).drop("_at", "_next", "_n", "_one", "_two")
+    return out.select("anchor", F.coalesce("own", "p", "e").alias("negative"))
+
+
+def _ring(candidates: DataFrame, seed: int, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """((other, _place), (_n)): different candidates numbered from 0 by a seeded hash, and their number.
+
+    Places are counted in buckets of the hash and behind the sizes of the buckets before, so no task sorts all.
+    """
+    h = F.xxhash64("other", F.lit(seed))
+    each = candidates.where("other IS NOT NULL").select("other").distinct().select("other", h.alias("_h"), F.pmod(h, F.lit(buckets)).alias("_bucket"))
+    sizes = each.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "other")) - 1
+    ring = each.withColumn("_nth", nth).join(F.broadcast(sizes), "_bucket").select("other", (F.col("_before") + F.col("_nth")).alias("_place"))
+    return ring, each.agg(F.count(F.lit(1)).alias("_n"))
 
 
 def pair_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str, markers: Sequence[str], most: int = 600) -> DataFrame:

@@ -190,6 +190,18 @@ def test_clusters_and_negatives(spark):
     assert {r.negative for r in none.where("anchor = 2").collect()} == {5}
 
 
+def test_negatives_are_drawn_for_every_anchor(spark):
+    anchors, many = spark.range(300).toDF("anchor"), spark.range(100).toDF("other")
+    none = spark.createDataFrame([], "anchor bigint, other bigint")
+    for pool in (many, many.limit(0)):
+        got = retrieval.negative_samples(anchors, none, pool, 1, many).collect()
+        assert len(got) == 300 and all(r.negative is not None and r.negative != r.anchor for r in got)
+        assert len({r.negative for r in got}) > 70
+    alone = spark.createDataFrame([(1,)], "other bigint")
+    got = retrieval.negative_samples(spark.createDataFrame([(1,), (2,)], "anchor bigint"), none, alone, 1, alone).collect()
+    assert {r.anchor: r.negative for r in got} == {1: None, 2: 1}
+
+
 def test_adjudication_and_lists(spark):
     df = spark.createDataFrame([("similar", "similar", "high"), ("similar", "drop", "high"), ("similar", "similar", "low")], "proposed string, verdict string, confidence string")
     assert [(r.flip, r.flagged) for r in retrieval.adjudicate(df).collect()] == [(False, False), (True, True), (False, True)]
