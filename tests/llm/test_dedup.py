@@ -94,6 +94,22 @@ def test_classes_match_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_variants_meet_through_their_base(spark):
+    rng = random.Random(23)
+    base = words(rng, 100)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 121):  # 0.88 like the base, about 0.77 like each other
+        v = list(base)
+        for k in rng.sample(range(100), 12):
+            v[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(v)))
+    got = mh.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ids = {i: mh.word_ids(t) for i, t in rows}
+    met = [i for i in range(1, 121) if (mh.sketch(ids[i]) == mh.sketch(ids[0])).any()]
+    classes = {r.doc_id: r.class_id for r in got}
+    assert len(met) > 90 and all(classes[i] == 0 for i in met)
+
+
 def test_components(spark):
     from lodestone.llm.common import Workspace
 
