@@ -7,7 +7,8 @@ mapping or a field of ``loop``, filters come from a fixed table, and there are n
 
     {{ expression | filter }}   {% for x in xs %} … {% endfor %}   {% set x = expression %}
     {% if a %} … {% elif b %} … {% else %} … {% endif %}   {% generation %} … {% endgeneration %}
-    expressions: names, a.b, 'text', numbers, true, false, none, == != < > and or not ~ + ( )
+    a hyphen inside a mark ({%- -%} {{- -}}) trims the white space of the text beyond it
+    expressions, tightest first: names a.b 'text' numbers true false none ( ), + ~, == != < >, not, and, or
 
 Defined cases: a null text or role is an empty one; turns are ordered by (turn, role, text) with
 nulls first, so ties and repeated rows have one order; a null conv_id is a conversation of its own;
@@ -144,7 +145,7 @@ class Generation:
     body: tuple
 
 
-_TAGS = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}", re.S)
+_TAGS = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}", re.S)
 _TOKENS = re.compile(r"\s*(?:(?P<num>\d+)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[<>()|.~+]))")
 _OPS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b,
@@ -155,7 +156,7 @@ _OPS: dict[str, Callable[[Any, Any], Any]] = {
     "~": lambda a, b: f"{a}{b}",
 }
 #: Loosest first; ``and`` and ``or`` short-circuit and so are not in the table above.
-_LEVELS = (("or",), ("and",), ("==", "!=", "<", ">"), ("+", "~"))
+_LEVELS = (("or",), ("and",), ("not",), ("==", "!=", "<", ">"), ("+", "~"))
 _ESCAPES = {"n": "\n", "t": "\t"}
 
 
@@ -191,17 +192,19 @@ class _Expression:
 
     def level(self, k: int) -> Any:
         if k == len(_LEVELS):
-            return self.unary()
+            return self.postfix()
+        if _LEVELS[k] == ("not",):
+            if self.peek() != "not":
+                return self.level(k + 1)
+            self.take()
+            return Unary(self.level(k))
         node = self.level(k + 1)
         while self.peek() in _LEVELS[k]:
             op = self.take()[1]
             node = Binary(op, node, self.level(k + 1))
         return node
 
-    def unary(self) -> Any:
-        if self.peek() == "not":
-            self.take()
-            return Unary(self.unary())
+    def postfix(self) -> Any:
         node = self.atom()
         while self.peek() in (".", "|"):
             op, (kind, name) = self.take()[1], self.take()
@@ -233,14 +236,17 @@ class _Expression:
 def parse(source: str) -> tuple:
     """The template's syntax tree."""
     pieces: list[tuple[str, str]] = []
-    at = 0
+    at, trim = 0, False
     for m in _TAGS.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
-        pieces.append(("out", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
+        text = source[at : m.start()]
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if m[1] or m[4] else text
+        if text:
+            pieces.append(("text", text))
+        pieces.append(("out", m[2]) if m[2] is not None else ("tag", m[5].strip()))
+        at, trim = m.end(), bool(m[3] or m[6])
     if at < len(source):
-        pieces.append(("text", source[at:]))
+        pieces.append(("text", source[at:].lstrip() if trim else source[at:]))
     pieces.reverse()
 
     def body(*ends: str) -> tuple[tuple, str]:

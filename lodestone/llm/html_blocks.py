@@ -9,7 +9,7 @@ around and inside the article. Weights are a function of the seed and are broadc
 
 Defined cases: null and empty pages have an empty text; malformed markup is read as a browser would
 (unclosed elements end with their parents, unknown end tags are skipped, a stray < is text); a page
-may have any number of blocks; repeated rows are labelled row by row; columns other than id, url
+may have any number of blocks, at any depth; repeated rows are labelled row by row; columns other than id, url
 and html are not read; an empty table gives an empty result.
 """
 
@@ -43,7 +43,13 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW = frozenset("script style textarea title noscript template iframe xmp svg math noframes".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
+_FOREIGN = frozenset(("svg", "math"))
+#: The start tags that end foreign content when it is not closed, as the HTML standard lists them.
+_BREAKS_OUT = (
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"
+)
+_FOREIGN_END = {t: re.compile(rf"</{t}\b[^>]*>|(?=<(?:{'|'.join(_BREAKS_OUT.split())})[\s/>])", re.I) for t in _FOREIGN}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("br img input hr meta link area base col embed source track param".split())
 #: Which open elements a start tag closes, and where the search for them ends.
@@ -75,26 +81,69 @@ class _Buckets(dict):
 _WORD_BUCKET = _Buckets()
 
 
+#: Elements nearest to a block whose distance is told apart; those beyond count alike, however many.
+NEAR = 7
+
+
 @dataclass
 class Block:
+    """``path``: the nearest elements, outermost first; ``above``: a bit for every term of the whole path."""
+
     text: str
     path: tuple[str, ...]
+    above: int = 0
     link_chars: int = 0
     inline: int = 0
 
 
+@lru_cache(maxsize=20_000)
+def _terms(name: str) -> int:
+    """Bits of the path terms of one element."""
+    tag, *words = name.split(" ")
+    bits = 1 << _bucket(f"<{tag}>", PATH_TERMS)
+    for w in words:
+        bits |= 1 << _bucket(w, PATH_TERMS)
+    return bits
+
+
+class _Open:
+    """The open elements: their names, the terms of each path, and where every tag is open."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.names: list[str] = []
+        self.above: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, name: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.names.append(name)
+        self.above.append((self.above[-1] if self.above else 0) | _terms(name))
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+        del self.names[place:], self.above[place:]
+
+
 def _name(tag: str, attributes: str) -> str:
     """Tag and the words of its telling attributes, as one string."""
     if not attributes:
         return tag
-    words = [w.lower() for _, v in _ATTRIBUTE.findall(attributes) for w in _PART.findall(v)[:8]]
+    words = [w.lower() for _, v in _ATTRIBUTE.findall(attributes) for w in _PART.findall(v)]
     return " ".join([tag, *words])
 
 
 def parse_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Open()
     text: list[str] = []
     state = [0, 0, 0]  # characters in links, inline tags, open links
 
@@ -102,8 +151,7 @@ def parse_blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                path = tuple(n for _, n in (stack if len(stack) <= 14 else [*stack[:4], *stack[-10:]]))
-                out.append(Block(joined, path, state[0], state[1]))
+                out.append(Block(joined, tuple(stack.names[-NEAR:]), stack.above[-1] if stack.above else 0, state[0], state[1]))
             text.clear()
         state[0] = state[1] = 0
 
@@ -130,6 +178,11 @@ def parse_blocks(page: str) -> list[Block]:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
+        if tag in _FOREIGN:
+            if not closing and not attributes.endswith("/"):
+                stop = _FOREIGN_END[tag].search(page, at)
+                at = stop.end() if stop else end
+            continue
         if tag in _INLINE:
             state[1] += 1
             if tag == "a":
@@ -144,30 +197,25 @@ def parse_blocks(page: str) -> list[Block]:
         flush()
         state[2] = 0
         if closing:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 400), -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if (place := stack.last((tag,))) >= 0:
+                stack.close(place)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack.tags and stack.tags[-1] == "p":
+            stack.close(len(stack.tags) - 1)
         if tag in _CLOSES:
             closes, until = _CLOSES[tag]
-            for k in range(len(stack) - 1, max(-1, len(stack) - 400), -1):
-                if stack[k][0] in until:
-                    break
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-        stack.append((tag, _name(tag, attributes)))
+            if (place := stack.last(closes)) > stack.last(until):
+                stack.close(place)
+        stack.push(tag, _name(tag, attributes))
     flush()
     return out
 
 
 @lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed words of the path; nearer elements count more."""
-    v = np.zeros(PATH_TERMS, np.float32)
+def _path_vector(path: tuple[str, ...], above: int) -> np.ndarray:
+    """Hashed words of the path; nearer elements count more, all beyond ``NEAR`` alike."""
+    far = np.frombuffer(above.to_bytes(PATH_TERMS // 8, "little"), np.uint8)
+    v = np.unpackbits(far, bitorder="little").astype(np.float32) * np.float32(0.4)
     for depth, name in enumerate(reversed(path)):
         weight = max(0.85**depth, 0.4)
         tag, *words = name.split(" ")
@@ -185,7 +233,7 @@ def block_vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUTS), np.float32)
     n = len(blocks)
     for i, b in enumerate(blocks):
-        x[i, :PATH_TERMS] = _path_vector(b.path)
+        x[i, :PATH_TERMS] = _path_vector(b.path, b.above)
         words = b.text.split(" ")
         bag = np.bincount(np.fromiter(map(_WORD_BUCKET.__getitem__, words), np.int64, len(words)), minlength=WORD_TERMS)
         bag = np.sqrt(bag)
@@ -213,8 +261,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm_forward(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, mask: np.ndarray):
-    """x: time x batch x inputs. Gives outputs and what the backward pass needs."""
+def _lstm_forward(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: bool = True):
+    """x: time x batch x inputs. Gives outputs and, if ``keep``, what the backward pass needs."""
     steps, batch, _ = x.shape
     h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
     inputs = x @ w + b
@@ -227,7 +275,8 @@ def _lstm_forward(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, ma
         new_c = m * (f * c + i * g) + (1 - m) * c
         tanh_c = np.tanh(new_c)
         new_h = m * (o * tanh_c) + (1 - m) * h
-        saved.append((h, c, i, f, o, g, tanh_c, m))
+        if keep:
+            saved.append((h, c, i, f, o, g, tanh_c, m))
         h, c = new_h, new_c
         out[t] = h
     return out, saved
@@ -283,10 +332,10 @@ class Labeller:
         w["c"] = np.zeros(1, np.float32)
         return Labeller(w)
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = True):
         w = self.weights
-        forth, saved_f = _lstm_forward(x, w["wf"], w["uf"], w["bf"], mask)
-        back, saved_b = _lstm_forward(x[::-1], w["wb"], w["ub"], w["bb"], mask[::-1])
+        forth, saved_f = _lstm_forward(x, w["wf"], w["uf"], w["bf"], mask, keep)
+        back, saved_b = _lstm_forward(x[::-1], w["wb"], w["ub"], w["bb"], mask[::-1], keep)
         both = np.concatenate((forth, back[::-1]), axis=2)
         return _sigmoid(both @ w["o"] + w["c"][0]), both, saved_f, saved_b
 
@@ -312,7 +361,7 @@ class Labeller:
                 stop += 1
             group = order[at:stop]
             x, mask = _pad([pages[k] for k in group])
-            p = self.forward(x, mask)[0]
+            p = self.forward(x, mask, keep=False)[0]
             for j, k in enumerate(group):
                 out[k] = p[: len(pages[k]), j]
             at = stop

@@ -3,13 +3,16 @@
 Every source gets ``min(cap, level * weight)`` with one level for all: the level at which the
 targets add up to all words. Ordered by cap per weight, clamped sources form a prefix, so the level
 comes from running sums over the (small) table of sources in one pass. A source is then sampled by
-whole repetitions of every document and a seeded fraction: documents are ranked by a hash, whole
-hash buckets are taken while they fit, and only the one bucket at the border is ranked row by row,
-so no task ever holds a hot source.
+whole repetitions of every document and a seeded fraction: documents are ranked by a hash of id and
+text, whole hash buckets are taken while they fit, and only the one bucket at the border is ranked row
+by row, so no task ever holds a hot source. What is ranked is a narrow table (source, hash, id, size),
+whose words are counted once; each source ends with one cut in that order, and a row compares itself
+with the cut.
 
 Defined cases: null texts have size 0; a null source is a source of its own, weighed last; sources
-without words get target 0 and their documents take 0; rows with equal id and text share one hash
-and are taken in one order given by (hash, id, size), so reruns agree; an empty table gives an empty result;
+without words get target 0 and their documents take 0; null and repeated ids are told apart by their
+texts; rows that agree in id and text are taken together or not at all, so reruns agree; an empty table
+gives an empty result;
 extra columns are dropped by ``mix`` and kept by ``mixed_documents``.
 """
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_CLASS, seeded_unit
+from lodestone.llm.common import Workspace, seeded_unit
 
 #: Fixed by contract: weights in order of sources, repeating, and the largest number of epochs.
 WEIGHTS = (1, 2, 3)
@@ -59,41 +62,67 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return t.withColumn("target", target).select("source", "source_size", "weight", "target", "capped")
 
 
-def _with_repetitions(docs: DataFrame, text: str, seed: int, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """``docs`` with size, source_size, target, repetitions."""
-    d = docs.withColumn("size", word_count(F.col(text))).withColumn("_hash", seeded_unit(F.col("doc_id"), seed))
-    d = d.withColumn("_bucket", F.expr(f"_hash div {16**8 // BUCKETS}"))
-    buckets = d.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+_RANK = ("_hash", "doc_id", "size")
+
+
+def _ranked(text: str, seed: int) -> list[Column]:
+    """size and _hash of a row."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return [word_count(F.col(text)).alias("size"), seeded_unit(key, seed).alias("_hash")]
+
+
+def _narrow(docs: DataFrame, text: str, seed: int) -> DataFrame:
+    """(source, doc_id, size, _hash) of every row."""
+    return docs.select("source", "doc_id", *_ranked(text, seed))
+
+
+def _cuts(narrow: DataFrame, space: Workspace, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """One row a source: source_size, target, _whole (repetitions of all) and _cut, up to which rows get one more."""
+    width = 16**8 // BUCKETS
+    narrow = narrow.withColumn("_bucket", F.expr(f"_hash div {width}"))
+    buckets = space.save(narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "buckets")
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("capped"), F.lit(max_epochs)).when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
     targets = targets.withColumn("_whole", whole.cast("bigint"))
     targets = targets.withColumn("_part", F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("target") - F.col("_whole") * F.col("source_size")))
-    # running words by bucket: below the fractional part a bucket is in, above it is out
+    targets = space.save(targets, "targets")
+    # running words by bucket: below the fractional part a bucket is in, above it is out, one may lie across
     b = buckets.withColumn("_upto", F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        "t.*", F.col("_bucket"), (F.col("_upto") - F.col("_words")).alias("_before"), "_upto"
-    )
-    state = F.when(F.col("_upto") <= F.col("_part"), F.lit(1)).when(F.col("_before") >= F.col("_part"), F.lit(0))
-    b = b.withColumn("_in", state).select("source", "_bucket", "source_size", "target", "_whole", "_part", "_before", "_in")
-    d = d.alias("d").join(b.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._bucket") == F.col("b._bucket")))
-    d = d.select("d.*", "b.source_size", "b.target", "b._whole", "b._part", "b._before", "b._in")
+    b = b.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "_bucket", "_part", (F.col("_upto") - F.col("_words")).alias("_before"), "_upto")
+    inside = b.filter(F.col("_upto") <= F.col("_part")).select("source", F.struct(((F.col("_bucket") + 1) * width - 1).alias("_hash"), F.lit(None).cast(narrow.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("bigint").alias("size")).alias("_cut"), F.lit(True).alias("_all"))
+    across = space.save(b.filter((F.col("_before") < F.col("_part")) & (F.col("_part") < F.col("_upto"))), "across")
     # the border bucket alone: take rows while that brings the source nearer to its target
-    border = d.filter(F.col("_in").isNull())
-    upto = F.sum("size").over(Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    border = border.withColumn("_at", F.col("_before") + upto - F.col("size") / 2)
-    border = border.withColumn("_in", F.when(F.col("_at") <= F.col("_part"), F.lit(1)).otherwise(F.lit(0))).drop("_at")
-    d = d.filter(F.col("_in").isNotNull()).unionByName(border)
-    return d.withColumn("repetitions", (F.col("_whole") + F.col("_in")).cast("bigint")).drop("_hash", "_bucket", "_whole", "_part", "_before", "_in")
+    border = narrow.alias("d").join(across.alias("x"), F.col("d.source").eqNullSafe(F.col("x.source")) & (F.col("d._bucket") == F.col("x._bucket"))).select("d.*", "_before", "_part")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy(*_RANK).rowsBetween(Window.unboundedPreceding, 0))
+    border = border.withColumn("_at", F.col("_before") + upto - F.col("size") / 2).filter(F.col("_at") <= F.col("_part"))
+    border = border.select("source", F.struct(*_RANK).alias("_cut"), F.lit(False).alias("_all"))
+    # a whole bucket ends at its last hash; the border lies beyond it, so the greatest cut is the one
+    cut = inside.unionByName(border).groupBy("source").agg(F.max(F.struct("_cut", "_all")).alias("c")).select("source", "c._cut", "c._all")
+    cut = space.save(cut, "cut")
+    joined = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    return space.save(joined.select("t.source", "source_size", "target", "_whole", "_cut", "_all"), "cuts")
+
+
+def _repetitions(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (with source, _hash, doc_id and size) with source_size, target and repetitions."""
+    d = rows.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select("d.*", "source_size", "target", "_whole", "_cut", "_all")
+    one_more = F.when(F.col("_all"), F.col("_hash") <= F.col("_cut._hash")).otherwise(F.struct(*_RANK) <= F.col("_cut"))
+    return d.withColumn("repetitions", F.col("_whole") + F.when(F.coalesce(one_more, F.lit(False)), 1).otherwise(0)).drop("_hash", "_whole", "_cut", "_all")
 
 
 def mix(docs: DataFrame, text: str = "text", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, repetitions and taken (words)."""
-    d = _with_repetitions(docs.select("doc_id", "source", text), text, seed, weights, max_epochs)
+    space = Workspace(docs.sparkSession, "mix")
+    narrow = space.save(_narrow(docs, text, seed), "narrow")
+    d = _repetitions(narrow, _cuts(narrow, space, weights, max_epochs))
     return d.withColumn("taken", F.col("repetitions") * F.col("size")).select("doc_id", "source", "size", "source_size", "target", "repetitions", "taken")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    d = _with_repetitions(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "source", text, "_row"), text, seed, weights, max_epochs)
-    d = d.filter(F.col("repetitions") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repetitions"))))
-    return d.select("_row.*")
+    space = Workspace(docs.sparkSession, "mixed")
+    cuts = _cuts(space.save(_narrow(docs, text, seed), "narrow"), space, weights, max_epochs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    d = docs.select("source", "doc_id", *_ranked(text, seed), row)
+    d = _repetitions(d, cuts).filter(F.col("repetitions") > 0)
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repetitions")))).select("_row.*")

@@ -48,7 +48,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_classes(docs).select("doc_id", "class_id", "n_links")
+    return minhash.near_classes(docs).select("doc_id", "class_id", "n_links", "class_rows")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ FROM b
 OP9 = r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS h
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

@@ -20,7 +20,11 @@ large keys Spark can split; no class is ever collected.
 
 Defined cases: null and empty texts, and texts shorter than ``length``, keep all bytes; repeated
 rows (equal id and text) are occurrences of their own; null ids are allowed; clashing column names
-of the input are dropped; an empty table gives an empty result.
+of the input are dropped (``strip_repeats`` keeps them); an empty table gives an empty result.
+
+Joins of texts carry a merge hint, here and in the modules beside this one: both sides grow with the
+corpus, and the compressed size of a Parquet table understates its texts, so no size check could
+admit a broadcast.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace
+from lodestone.llm.common import Names, Workspace, tagged
 
 LENGTH = 200
 #: Start positions among whose hashes an anchor is the least; at most LENGTH - 8.
@@ -177,6 +181,20 @@ def merge_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), reach[last].tolist(), strict=True))
 
 
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans widened to the borders of UTF-8 characters, joined where they then touch."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        while s > 0 and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        if out and s <= out[-1][1]:
+            s = out.pop()[0]
+        out.append((s, e))
+    return out
+
+
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for s, e in spans:
@@ -186,7 +204,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-_MADE = {"_key", "_text", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "_sure", "_reps"}
+_MADE = {"_key", "_text", "_id", "_twice", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "_sure", "_reps"}
 _RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
 _SPAN = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("n", T.LongType())]))
 _REP = T.ArrayType(T.StructType([T.StructField("core", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("n", T.LongType()), T.StructField("count", T.LongType())]))
@@ -213,16 +231,22 @@ def _emit(batches: Iterator[pa.RecordBatch], rows, schema: pa.Schema, most: int
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
 
-def _finish(text: bytes, sure: list[dict] | None, length: int, with_text: bool) -> tuple:
+def _finish(text: bytes, sure: list[dict] | None, length: int, with_text: bool, characters: bool) -> tuple:
     starts = np.array([s["lo"] for s in sure or ()], np.int64)
     stops = starts + np.array([s["n"] for s in sure or ()], np.int64) + length - 1
     spans = merge_spans(starts, stops)
     kept = cut(text, spans) if spans else text
-    return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None
+    left = None
+    if with_text:
+        left = cut(text, whole_characters(text, spans)) if characters and spans else kept
+    return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), left
+
 
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, with_text: bool = True, characters: bool = False) -> DataFrame:
+    """``docs`` without the text, with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes, null unless ``with_text``).
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """``docs`` without the text, with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes, null unless ``with_text``)."""
+    With ``characters``, kept leaves out every character of which any byte goes; the other columns do not change.
+    """
     if length < 2 * GRAM + SPREAD:
         raise ValueError(f"length must be at least {2 * GRAM + SPREAD}")
     spark = docs.sparkSession
@@ -230,7 +254,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     keep = [c for c in docs.columns if c != text and c.lower() not in _MADE]
     body = F.coalesce(F.col(text), F.lit("")).cast("string")
     first = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(None).cast("string")
-    docs = docs.select(*keep, F.xxhash64(first, body).alias("_key"), body.alias("_text"))
+    docs = docs.select(*keep, first.alias("_id"), body.alias("_text"))
+    # one name for rows of equal id and text: they remove the same spans
+    content = F.concat(tagged(F.col("_id")), F.col("_text"))
+    docs = Names(docs.select(content.alias("c")), space).add(docs, content, "_key").select(*keep, "_key", "_text")
 
     # round 1: rank anchors by the bytes that all their windows share
     anchor_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("core", "whole", "key", "lo", "n")])
@@ -279,10 +306,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
                 raw = t.as_buffer().to_pybytes()
                 if r:
                     waits = any(x["count"] == 1 for x in r)
-                    done = (None,) * 5 if waits else _finish(raw, s, length, with_text)
+                    done = (None,) * 5 if waits else _finish(raw, s, length, with_text, characters)
                     out.append((*done, key, raw, s if waits else None, r))
                 else:
-                    out.append((*_finish(raw, s, length, with_text), key, None, None, None))
+                    out.append((*_finish(raw, s, length, with_text, characters), key, None, None, None))
             columns = [b.column(c) for c in keep]
             made = [pa.array([o[i] for o in out], schema.field(len(keep) + i).type) for i in range(9)]
             yield pa.RecordBatch.from_arrays(columns + made, schema=schema)
@@ -343,7 +370,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
             out = []
             for t, s, late in zip(b.column("_text"), b.column("_sure").to_pylist(), b.column("_late").to_pylist(), strict=True):
                 spans = [*(s or ()), *(late or ())]
-                out.append(_finish(t.as_buffer().to_pybytes(), spans, length, with_text))
+                out.append(_finish(t.as_buffer().to_pybytes(), spans, length, with_text, characters))
             made = [pa.array([o[i] for o in out], schema.field(len(keep) + i).type) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, schema=schema)
 
@@ -355,13 +382,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
 def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the same columns and the repeated bytes taken out of the text.
 
-    A character of which any byte goes, goes.
+    A character of which any byte goes, goes; all others stay as they are, U+FFFD included.
     """
     rest = F.struct(*[c for c in docs.columns if c != text]).alias("_lodestone_row")
     own = [F.col("doc_id")] if "doc_id" in docs.columns else []
-    out = remove_repeats(docs.select(*own, rest, text), text, length)
-    kept = F.col("kept")
-    # cut characters leave bytes that are no UTF-8: validate, and drop the marks put in their place
-    clean = F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
-    plain = F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(clean)
-    return out.select(*[plain.alias(text) if c == text else F.col(f"_lodestone_row.`{c}`").alias(c) for c in docs.columns])
+    out = remove_repeats(docs.select(*own, rest, text), text, length, characters=True)
+    return out.select(*[F.col("kept").cast("string").alias(text) if c == text else F.col(f"_lodestone_row.`{c}`").alias(c) for c in docs.columns])

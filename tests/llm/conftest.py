@@ -28,7 +28,7 @@ def odd(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    names = ["kept", "size", "target", "n_words", "_words", "_key", "ids", "score", "row", "n", "node", "repetitions", "text2"]
+    names = ["kept", "size", "target", "n_words", "_words", "_key", "ids", "score", "row", "n", "node", "repetitions", "text2", "_row", "_text", "_docs", "_node", "_hash", "n_symbols", "failed_rule", "base_failed", "formatted", "spans"]
     return df.withColumns({n: F.lit(7) for n in names})
 
 
