@@ -18,9 +18,11 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-stream-"))
         base = _own[0]
