@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces and bytes that a worker remembers; beyond them it forgets all and starts anew.
-MEMO_PIECES = 300_000
-MEMO_BYTES = 24_000_000
+MEMO_PIECES = 200_000
+MEMO_BYTES = 16_000_000
 NO_RANK = 1 << 40
 
 
@@ -190,7 +190,7 @@ def codec(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(load_ranks(path), pattern)
 
 
-def _groups(texts: list[str | None], most_chars: int = 8_000_000) -> Iterator[list[str | None]]:
+def _groups(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[list[str | None]]:
     """Texts in runs of bounded size, so that few very long ones do not meet in memory."""
     run, held = [], 0
     for t in texts:
