@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``value`` computed once a row, however often ``x`` occurs."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Maximal runs of a-z and 0-9 in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -82,23 +87,43 @@ def escape_percent(url: Column) -> Column:
 def section(text: Column, heading: str, until: str, most: int = 6000) -> Column:
     """Text after a heading line up to the next heading, cut at a sentence end past the middle."""
     body = extract(text, rf"(?is)(?:^|\n)[ \t]*(?:{heading})[ \t]*:?[ \t]*\n?(.*?)(?=\n[ \t]*(?:{until})[ \t]*:?|\z)")
-    body = F.btrim(body)
-    cut = F.left(body, F.lit(most))
-    end = F.length(cut) - F.instr(F.reverse(cut), ".") + 1
-    shorter = F.when((F.instr(cut, ".") > 0) & (end > most // 2), F.left(cut, end)).otherwise(cut)
-    return F.when(F.length(body) <= most, body).otherwise(shorter)
+
+    def shorten(cut: Column) -> Column:
+        end = F.length(cut) - F.instr(F.reverse(cut), ".") + 1
+        return F.when((F.instr(cut, ".") > 0) & (end > most // 2), F.left(cut, end)).otherwise(cut)
+
+    return let(F.btrim(body), lambda b: F.when(F.length(b) <= most, b).otherwise(let(F.left(b, F.lit(most)), shorten)))
+
+
+_ONE = r"\d+(?:\.[0-9A-Za-z]+)*(?:[a-z](?![a-z]))?(?:\s*\([a-z0-9]+\))*"
+_CITED = rf"(?i)\bArt(?:icle)?s?\.?\s*[A-Z]?{_ONE}(?:\s*(?:,|\band\b|&)\s*{_ONE})*|\bAppendix\s+(?:[A-Z](?![a-z])|\d+)(?:\s*,?\s*(?:Chapter|Section)\s+[IVXLCDM0-9]+\b)?"
 
 
 def citations(text: Column) -> Column:
-    """Distinct article numbers in order: lists are split, and white space and the word itself dropped."""
-    lists = F.regexp_extract_all(text, F.lit(r"(?i)\bArt(?:icle|icles|s)?\.?[ \t]+((?:\d+(?:\.\d+)*(?:[ \t]*\([a-z0-9]+\))*)(?:[ \t]*(?:,|and|&)[ \t]*\d+(?:\.\d+)*(?:[ \t]*\([a-z0-9]+\))*)*)"), F.lit(1))
-    parts = F.flatten(F.transform(lists, lambda x: F.split(x, r"[ \t]*(?:,|\band\b|&)[ \t]*")))
-    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.regexp_replace(F.lower(x), r"\s", "")), lambda x: x != ""))
+    """Distinct articles and appendices in order, case aside.
+
+    Lists after one prefix are split; white space goes, and so does the dot before a paragraph letter
+    that follows a digit; an appendix keeps its letter in capitals and its chapter after a comma.
+    """
+
+    def appendix(match: Column) -> Column:
+        name = F.upper(F.regexp_extract(match, r"(?i)^appendix\s+(\w+)", 1))
+        chapter = F.regexp_extract(match, r"(?i)((?:chapter|section)\s+\w+)$", 1)
+        return F.array(F.concat(F.lit("Appendix "), name, F.when(chapter != "", F.concat(F.lit(", "), F.regexp_replace(chapter, r"\s+", " "))).otherwise("")))
+
+    def articles(match: Column) -> Column:
+        parts = F.split(F.regexp_replace(match, r"(?i)^art(?:icle)?s?\.?\s*", ""), r"\s*(?:,|\band\b|&)\s*")
+        return F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s|\.+$", ""), r"(?<=\d)\.(?=[a-z]$)", ""))
+
+    found = F.regexp_extract_all(text, F.lit(_CITED), F.lit(0))
+    every = F.flatten(F.transform(found, lambda m: F.when(F.lower(m).startswith("app"), appendix(m)).otherwise(articles(m))))
+    every = F.filter(every, lambda x: x != "")
+    return let(every, lambda e: F.filter(F.transform(e, lambda x, i: F.when(~F.exists(F.slice(e, 1, i), lambda y: F.lower(y) == F.lower(x)), x)), lambda x: x.isNotNull()))
 
 
 def normalise_article(article: Column) -> Column:
     """Without its prefix; null without a digit; an appendix keeps its name."""
-    plain = F.btrim(F.regexp_replace(article, r"(?i)^\s*art(?:icle|icles|s)?\.?\s*", ""))
+    plain = F.btrim(F.regexp_replace(article, r"(?i)^\s*art(?:icle)?s?\.?\s*", ""))
     return F.when(article.rlike(r"(?i)^\s*appendix\b"), F.btrim(article)).when(plain.rlike(r"\d"), plain)
 
 

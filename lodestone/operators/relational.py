@@ -124,12 +124,66 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fold_dimension(df: DataFrame, key: str, season: str, number: str, active: str) -> DataFrame:
-    """Merge rows of one entity: seasons, number by season, newest number, ever active."""
-    return df.groupBy(key).agg(
+    """Merge rows of one entity: seasons, number by season (the greatest of a season), newest number, ever active."""
+    numbers = df.groupBy(key, season).agg(F.max(number).alias("_n")).where("_n IS NOT NULL").groupBy(key)
+    numbers = numbers.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(season, "_n")))).alias("numbers"))
+    folded = df.groupBy(key).agg(
         F.array_sort(F.collect_set(season)).alias("seasons"),
         F.max_by(number, season).alias("number"),
         F.bool_or(active).alias("active"),
     )
+    return folded.join(numbers, key, "left")
+
+
+def compare_rows(df: DataFrame, entity: str, wanted: Sequence[object], order: Sequence[str], channels: Sequence[str], where: Column) -> DataFrame:
+    """(entity, samples): the chosen channels of 2 to 4 entities in order, null for an entity without rows."""
+    if not 2 <= len(wanted) <= 4:
+        raise ValueError("two to four entities can be compared")
+    asked = df.sparkSession.createDataFrame([(w,) for w in wanted], f"{entity} {df.schema[entity].dataType.simpleString()}")
+    rows = df.where(F.col(entity).isin(list(wanted)) & where)
+    samples = F.array_sort(F.collect_list(F.struct(*order, *[c for c in channels if c not in order])))
+    return asked.join(rows.groupBy(entity).agg(samples.alias("samples")), entity, "left")
+
+
+def plausible_year(ts: Column, season: Column) -> Column:
+    """A date of its season or the year after, else null."""
+    return F.when(F.year(ts).between(season, season + 1), ts)
+
+
+def has_element(items: Column, field: str, value: str) -> Column:
+    """Whether an array of structs has one whose field equals a value, case aside."""
+    return F.coalesce(F.exists(items, lambda x: F.upper(x[field]) == value.upper()), F.lit(False))
+
+
+def penalty_histogram(df: DataFrame, by: Sequence[str], code: str, missing: str = "NFA") -> DataFrame:
+    """(by, histogram): a map of code to rows; a null code counts as ``missing``."""
+    counts = df.groupBy(*by, F.coalesce(code, F.lit(missing)).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_c", "_n")))).alias("histogram"))
+
+
+def through_bridge(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left ⋈ bridge ⋈ right: every left row with each of its right rows."""
+    return left.join(bridge.select(left_key, right_key).distinct(), left_key).join(right, right_key)
+
+
+def first_with_context(labels: DataFrame, context: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """The first value of every key in a stated order; columns of ``context`` that are not null win over those of the label's row."""
+    first = first_per_key(labels, [key], [F.col(c) for c in order])
+    extra = [c for c in context.columns if c != key]
+    shared = [c for c in extra if c in labels.columns and c != value]
+    right = context.select(key, *[F.col(c).alias(f"_ctx_{c}") for c in extra])
+    out = first.join(right, key, "left")
+    kept = [F.coalesce(f"_ctx_{c}", c).alias(c) if c in shared else F.col(c) for c in labels.columns]
+    return out.select(*kept, *[F.col(f"_ctx_{c}").alias(c) for c in extra if c not in labels.columns])
+
+
+def presence_label(df: DataFrame, key: str, role: str, names: Mapping[frozenset[str], str], other: str) -> DataFrame:
+    """(key, label): one label for the set of roles present."""
+    seen = df.groupBy(key).agg(F.array_sort(F.collect_set(role)).alias("_roles"))
+    label = F.lit(other)
+    for roles, name in names.items():
+        label = F.when(F.col("_roles") == F.array(*[F.lit(r) for r in sorted(roles)]), name).otherwise(label)
+    return seen.select(key, label.alias("label"))
 
 
 def ordered_case(rules: Mapping[str, Column], default: str) -> Column:

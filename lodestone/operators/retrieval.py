@@ -9,24 +9,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import first_contained, tokens
+from lodestone.sources.tables import keep
 
-#: Queries in one broadcast block of a vector search.
-QUERY_BLOCK = 2048
+#: Queries and vectors of one product of a vector search.
+QUERY_BLOCK, SEGMENT_ROWS = 1024, 16_384
+#: Query terms up to which documents are filtered in place; more are joined.
+VOCABULARY = 50_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str | Mapping[str, float], query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score, rank): the k best documents of every query by Okapi BM25.
 
-    Distinct query terms; terms of no document are skipped; only scores above 0; 4 decimals; equal
-    scores by key. Only rows of query terms are counted: documents are filtered to the (bounded)
-    vocabulary of the queries before anything is shuffled, and lengths come from a narrow pass.
+    ``text`` is a column, or columns with weights: a term of a field counts as often as its weight,
+    and so do the field's words for the length. Distinct query terms; terms of no document are
+    skipped; only scores above 0; 4 decimals; equal scores by key. Texts are read once: what is kept
+    of a document is its length and its query terms, and that alone is shuffled.
     """
+    fields = {text: 1.0} if isinstance(text, str) else dict(text)
     q = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     vocabulary = q.select("term").distinct()
-    d = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    terms = [r[0] for r in vocabulary.limit(VOCABULARY + 1).collect()]
+    d = docs.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
+    length = sum((F.size(f"_t{i}") * F.lit(w) for i, w in enumerate(fields.values())), F.lit(0))
+    few = len(terms) <= VOCABULARY
+    kept = [F.filter(f"_t{i}", lambda t: t.isin(terms)) if few else F.col(f"_t{i}") for i in range(len(fields))]
+
+    def marked(words: Column, weight: float) -> Column:
+        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    weighted = F.concat(*[marked(c, float(w)) for c, w in zip(kept, fields.values(), strict=True)])
+    d = keep(d.select(key, length.cast("double").alias("dl"), weighted.alias("_terms")), "bm25")
     corpus = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = d.select(key, "dl", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = d.select(key, "dl", F.inline("_terms"))
+    if not few:
+        postings = postings.join(vocabulary, "term", "left_semi")
+    postings = postings.groupBy(key, "dl", "term").agg(F.sum("w").alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(corpus)).select(
         "term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
@@ -43,64 +61,83 @@ def all_terms(text: Column, terms: Column) -> Column:
     return F.forall(terms, lambda t: F.array_contains(found, t))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _packed(vectors: DataFrame, key: str, vector: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """((block, ids, data), blocks): usable vectors as binary blocks of about ``rows`` rows, kept in the shared folder.
+
+    A vector that is null, empty or holds a null or non-finite component takes no part.
+    """
+    v = F.col(vector).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = vectors.select(F.col(key).cast("bigint").alias("key"), v.alias("v")).where(F.col("key").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
+    blocks = max(1, -(-good.count() // rows))
+
+    def pack(t: pa.Table) -> pa.Table:
+        column = t.column("v").combine_chunks()
+        sizes = np.diff(np.asarray(column.offsets))
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"block": t.column("block")[:1], "ids": [t.column("key").to_numpy().tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "data": [flat.tobytes()]})
+
+    placed = good.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    return keep(placed.groupBy("block").applyInArrow(pack, "block bigint, ids binary, sizes binary, data binary"), name), blocks
+
+
+def _rows(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a block; shorter vectors are filled up with zeros."""
+    n, flat = np.frombuffer(sizes, "<i4"), np.frombuffer(data, np.float64)
+    out = np.zeros((len(n), int(n.max(initial=1))))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return np.frombuffer(ids, np.int64), out
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, decimals: int = 6) -> DataFrame:
     """(query, key, score, rank): the k nearest other vectors of every query by cosine, exact.
 
-    Queries come in blocks of at most ``QUERY_BLOCK`` vectors; each block is broadcast and meets all
-    rows as one matrix product a batch, so no pair is ever a row. Equal rounded scores go by key.
+    Queries and vectors are packed in blocks of bounded size on the executors; every block of queries
+    meets every block of vectors as one matrix product, of which k rows a query go on. Spark
+    broadcasts the queries if its size check admits them. Equal rounded scores go by key; of vectors
+    of different lengths the shorter one is filled up with zeros.
     """
-    spark = vectors.sparkSession
-    usable = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, rows = [], []
-        for r in asked.toLocalIterator():
-            ids.append(r["key"])
-            rows.append(r["v"])
-            if len(ids) == QUERY_BLOCK:
-                yield np.array(ids), unit(np.array(rows))
-                ids, rows = [], []
-        if ids:
-            yield np.array(ids), unit(np.array(rows))
-
-    schema = "query bigint, key bigint, score double"
-    found = None
-    for ids, q in blocks():
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys = b.column("key").to_numpy()
-                x = unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-                score = np.round(q @ x.T, decimals) + 0.0
-                score[ids[:, None] == keys[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                col = order.ravel()
-                good = np.isfinite(score[row, col])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row][good]), pa.array(keys[col][good]), pa.array(score[row, col][good])], names=["query", "key", "score"])
-
-        part = usable.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
+    store, segments = _packed(vectors, key, vector, SEGMENT_ROWS, "vectors")
+    asked, _ = _packed(queries, key, vector, QUERY_BLOCK, "queries")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(segments - 1).cast("bigint"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "data")])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                raw = {c: b.column(c)[r].as_py() for c in ("ids", "sizes", "data", "q_ids", "q_sizes", "q_data")}
+                ids, x = _rows(raw["ids"], raw["sizes"], raw["data"])
+                q_ids, q = _rows(raw["q_ids"], raw["q_sizes"], raw["q_data"])
+                common = min(x.shape[1], q.shape[1])
+                score = np.round(_unit(q)[:, :common] @ _unit(x)[:, :common].T, decimals) + 0.0
+                score[q_ids[:, None] == ids[None, :]] = -np.inf
+                low = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+                row, col = np.nonzero((score >= low[:, None]) & (score > -np.inf))
+                order = np.lexsort((ids[col], -score[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[first], col[first]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(score[row, col])], names=["query", "key", "score"])
+
+    found = store.join(asked, "block").drop("block").mapInArrow(search, "query bigint, key bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fuse(lists: Sequence[DataFrame], by: Sequence[str], key: str, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists (by, key, rank): score 6 decimals, k best, equal scores by key."""
+def fuse(lists: Sequence[DataFrame | None], by: Sequence[str], key: str, k: int, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists (by, key, rank): score 6 decimals, k best, equal scores by key.
+
+    A list that is None (no model for it) is left out; of one list the ranks stay.
+    """
     every = None
-    for ranked in lists:
+    for ranked in (x for x in lists if x is not None):
         part = ranked.select(*by, key, (1.0 / (constant + F.coalesce("rank", F.lit(1)))).alias("_part"))
         every = part if every is None else every.unionByName(part)
+    if every is None:
+        raise ValueError("no list to fuse")
     fused = every.groupBy(*by, key).agg(F.round(F.sum("_part"), 6).alias("rrf_score"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rrf_score"), F.col(key)))
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -151,6 +188,11 @@ def triplets(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return p.join(n, ["anchor", "j"]).select("anchor", "positive", "negative")
 
 
+def seeded_number(value: Column, seed: int) -> Column:
+    """A number below 16**12 from md5: the same in every run and engine."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), value.cast("string"))), F.lit(12)), 16, 10).cast("bigint")
+
+
 def negative_samples(anchors: DataFrame, own: DataFrame, pool: DataFrame, seed: int, everything: DataFrame) -> DataFrame:
     """(anchor, negative): an own negative if there is one, else one of the pool, else any document.
 
@@ -158,12 +200,12 @@ def negative_samples(anchors: DataFrame, own: DataFrame, pool: DataFrame, seed:
     a seeded hash and each anchor draws a place by its own hash, the next place if that is the anchor
     itself; so no anchor meets every candidate. An anchor without any other candidate has a null.
     """
-    first = own.groupBy("anchor").agg(F.min_by("other", F.xxhash64("other", F.lit(seed))).alias("own"))
+    first = own.groupBy("anchor").agg(F.min_by("other", F.struct(seeded_number(F.col("other"), seed), F.col("other"))).alias("own"))
     out = anchors.join(first, "anchor", "left")
     for name, candidates in (("p", pool), ("e", everything)):
         ring, size = _ring(candidates, seed)
         out = out.crossJoin(F.broadcast(size))
-        at = F.when(F.col("_n") > 0, F.pmod(F.xxhash64("anchor", F.lit(seed), F.lit(name)), F.nullif("_n", F.lit(0))))
+        at = F.when(F.col("_n") > 0, F.pmod(seeded_number(F.concat(F.lit(name), F.col("anchor").cast("string")), seed), F.nullif("_n", F.lit(0))))
         out = out.withColumn("_at", at).withColumn("_next", F.when(F.col("_n") > 0, F.pmod(F.col("_at") + 1, F.nullif("_n", F.lit(0)))))
         out = out.join(ring.select(F.col("_place").alias("_at"), F.col("other").alias("_one")), "_at", "left")
         out = out.join(ring.select(F.col("_place").alias("_next"), F.col("other").alias("_two")), "_next", "left")
@@ -177,7 +219,7 @@ def _ring(candidates: DataFrame, seed: int, buckets: int = 1024) -> tuple[DataFr
 
     Places are counted in buckets of the hash and behind the sizes of the buckets before, so no task sorts all.
     """
-    h = F.xxhash64("other", F.lit(seed))
+    h = seeded_number(F.col("other"), seed)
     each = candidates.where("other IS NOT NULL").select("other").distinct().select("other", h.alias("_h"), F.pmod(h, F.lit(buckets)).alias("_bucket"))
     sizes = each.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -208,6 +250,45 @@ def hard_pair_score(same_code: Column, one_free: Column, cross_season: Column) -
     return flag(~same_code, 3) + flag(one_free, 2) + flag(cross_season, 1)
 
 
+def hard_pairs(pairs: DataFrame, seen: DataFrame, bucket: str, score: str, per_bucket: int = 8, in_all: int = 65) -> DataFrame:
+    """At most ``per_bucket`` unseen pairs (a, b) of each bucket and ``in_all`` altogether, best scores first.
+
+    Buckets are served in order of their names, as long as the total lasts.
+    """
+    left = pairs.join(_unordered(seen).distinct(), [F.least("a", "b") == F.col("_low"), F.greatest("a", "b") == F.col("_high")], "left_anti")
+    nth = F.row_number().over(Window.partitionBy(bucket).orderBy(F.desc(score), "a", "b"))
+    first = left.withColumn("_nth", nth).where(F.col("_nth") <= per_bucket)
+    # at most per_bucket rows of each bucket are left; the limit cuts them in one order
+    return first.orderBy(bucket, "_nth").limit(in_all).drop("_nth")
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high"))
+
+
+#: Words of a title by which documents are put together for a suggestion, first match wins.
+TITLE_KEYWORDS = (
+    "collision", "causing", "unsafe", "track limits", "impeding", "penalty", "reprimand", "blue flag", "pit lane", "start procedure", "weaving", "overtaking", "formation", "safety car",
+)
+
+
+def suggest_pairs(docs: DataFrame, seen: DataFrame, key: str, title: str, seed: int, keywords: Sequence[str] = TITLE_KEYWORDS) -> DataFrame:
+    """(bucket, a, b): one unseen pair of every bucket of titles, each drawn by a seeded order.
+
+    Documents of a bucket stand in a seeded ring, and each is paired with the next one; a bucket all
+    of whose neighbours have been seen goes on to the next but one, up to three places on. No bucket
+    is joined with itself.
+    """
+    bucket = first_contained(F.col(title), [(w, w) for w in keywords])
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    rows = docs.select(F.col(key).alias("a"), bucket.alias("bucket"), order.alias("_o")).where("bucket IS NOT NULL")
+    ring = Window.partitionBy("bucket").orderBy("_o", "a")
+    ahead = [F.struct(F.lit(n).alias("step"), F.lead("a", n).over(ring).alias("b")) for n in (1, 2, 3)]
+    pairs = rows.withColumn("_next", F.array(*ahead)).select("bucket", "a", "_o", F.inline("_next")).where("b IS NOT NULL")
+    left = pairs.join(_unordered(seen).distinct(), [F.least("a", "b") == F.col("_low"), F.greatest("a", "b") == F.col("_high")], "left_anti")
+    return left.groupBy("bucket").agg(F.min_by(F.struct("a", "b"), F.struct("step", "_o")).alias("p")).select("bucket", F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
+
+
 def numbered_list(rows: DataFrame, by: Sequence[str], order: str, line: Column) -> DataFrame:
     """(by, document): lines as a numbered list, for a template."""
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))

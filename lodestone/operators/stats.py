@@ -62,7 +62,7 @@ def chi_squared(counts: DataFrame, group: str, outcome: str, least: int = 5, obs
     totals = everything.agg(F.sum("all_n").alias("grand"), F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("df"))
     shares_ = everything.crossJoin(F.broadcast(totals)).select(outcome, (F.col("all_n") / F.col("grand")).alias("share"), "df")
     groups = counts.groupBy(group).agg(F.sum("n").alias("group_n"))
-    seen = counts.join(F.broadcast(groups), group).join(F.broadcast(shares_), outcome)
+    seen = counts.join(groups, group).join(shares_, outcome)
     expected = F.col("group_n") * F.col("share")
     terms = seen.groupBy(group, "group_n", "df").agg(
         F.sum(F.pow(F.col("n") - expected, F.lit(2.0)) / expected).alias("_sum"), F.sum(expected).alias("_expected")

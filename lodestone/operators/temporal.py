@@ -105,6 +105,13 @@ def greatest_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], lef
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def midpoint_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], left_key: str, spans: tuple[str, str, str, str], width: float, ties: Sequence[Column], reach: float = 0.5) -> DataFrame:
+    """``greatest_overlap`` of ``reach`` seconds around the middle of every left interval."""
+    middle = (F.col(spans[0]) + F.col(spans[1])) / 2
+    narrow = left.withColumn("_low", middle - reach).withColumn("_high", middle + reach)
+    return greatest_overlap(narrow, right, keys, left_key, ("_low", "_high", spans[2], spans[3]), width, ties).drop("_low", "_high")
+
+
 # ---------------------------------------------------------------- messages and incidents
 
 #: Words of messages about an investigation, and offences by phrase, first match wins.

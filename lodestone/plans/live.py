@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
 from lodestone.sources import load
+from lodestone.sources.tables import scratch
 from lodestone.streaming import live
 from lodestone.streaming.run import event_stream, run_to_end
 
@@ -71,6 +72,62 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_quota", "SELECT user_id, ts::DATE AS day, count(*) AS calls, greatest(count(*) - 4, 0)::BIGINT AS over_limit FROM events GROUP BY ALL")
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    updates = run_to_end(live.quota(e, ["user_id", "day"], 4), "update", "quota")
+    updates = run_to_end(live.quota(event_stream(spark, sf_dir), "user_id", "ts", 4, DELAY), "update", "quota")
     return updates.groupBy("user_id", "day").agg(F.max("calls").alias("calls"), F.max("over").alias("over_limit"))
+
+
+@query("stream_late_rows", """
+WITH b AS (SELECT min(ts) AS a, max(ts) FILTER (event_id % 10 <> 0) AS z FROM events)
+SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events, b WHERE event_id % 10 <> 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > z - INTERVAL 2 DAYS GROUP BY 1
+""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the rows arrives last: those of windows that the watermark has closed are dropped, the others count."""
+    folder = scratch(spark, "arrivals")
+    e = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    on_time = e.where("event_id % 10 <> 0")
+    low, high = on_time.agg(F.min("ts"), F.max("ts")).first()
+    middle = low + (high - low) / 2
+    nothing = on_time.limit(0)
+    # the two empty files only let the watermark of the files before take effect
+    for n, part in enumerate((on_time.where(F.col("ts") < middle), on_time.where(F.col("ts") >= middle), nothing, nothing, e.where("event_id % 10 = 0"))):
+        part.coalesce(1).write.parquet(f"{folder}/{n}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    windows = stream.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = run_to_end(windows.select(F.col("w.start").alias("start"), "n"), "update", "late")
+    return _plain(counts.groupBy("start").agg(F.max("n").alias("n")), "start")
+
+
+@query("stream_alert_precedents", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), a AS (SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 20),
+u AS (SELECT DISTINCT user_id FROM a), c AS (SELECT u.user_id, b.vec_id AS precedent, round(list_cosine_similarity(x.e, b.e), 6) + 0.0 AS score FROM u JOIN v x ON x.vec_id = u.user_id JOIN v b ON b.vec_id <> u.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, precedent)::INTEGER AS rank FROM c)
+SELECT event_id, a.user_id, precedent, score, rank FROM a JOIN r USING (user_id) WHERE rank <= 5
+""")
+def stream_alert_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert with the five stored vectors nearest to its own, found per batch; vectors and users share ids here."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
+    alerts = live.alerts(event_stream(spark, sf_dir), (F.col("event_type") == "error") & (F.col("value") > 20), vectors, "user_id")
+    out, state = scratch(spark, "precedents"), scratch(spark, "precedents-state")
+    live.alert_precedents(alerts.select("event_id", "user_id", "embedding"), vectors, "user_id", "embedding", 5, out).option("checkpointLocation", state).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "precedent", "score", "rank")
+
+
+@query("incident_messages", """
+SELECT event_id, event_id % 6 IN (0, 1, 3, 4) AS incident FROM events
+""")
+def incident_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 6
+    category = F.when(k == 0, "flag").when(k == 1, "Incident").when(k == 2, "Flag").otherwise(F.lit(None))
+    message = F.when(k == 3, "Car 4 noted - alleged breach of rules").when(k == 4, "TURN 4 INCIDENT UNDER INVESTIGATION").when(k == 5, "Green light")
+    flag = F.when(k == 0, "black and white").when(k == 2, "yellow")
+    return load(spark, sf_dir, "events").select("event_id", live.incident_message(category, flag, message).alias("incident"))
+
+
+@query("stored_rows", "SELECT event_id, user_id, true AS stored FROM events WHERE event_type = 'purchase'")
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream kept as JSON lines with the time of storing."""
+    out, state = scratch(spark, "stored"), scratch(spark, "stored-state")
+    rows = event_stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", F.current_timestamp().alias("stored_at"))
+    rows.writeStream.format("json").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema("event_id bigint, user_id bigint, stored_at timestamp").json(out)
+    return back.select("event_id", "user_id", F.col("stored_at").isNotNull().alias("stored"))

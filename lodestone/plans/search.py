@@ -218,10 +218,114 @@ def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "label", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"))
 
 
-@query("negative_samples")
+_RING = """SELECT other, row_number() OVER (ORDER BY h % 1024, h, other) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT other, ('0x' || left(md5('3:' || other), 12))::BIGINT AS h FROM {name})"""
+
+
+@query("negative_samples", f"""
+WITH {_POOL}, own AS (SELECT a AS anchor, b AS other FROM pairs WHERE score <= 2 AND a % 2 = 0), anchors AS (SELECT DISTINCT a AS anchor FROM pairs), every AS (SELECT doc_id AS other FROM documents),
+o AS (SELECT anchor, arg_min(other, ('0x' || left(md5('3:' || other), 12))::BIGINT) AS own FROM own GROUP BY 1),
+pr AS ({_RING.format(name="own")}), er AS ({_RING.format(name="every")}),
+pl AS (SELECT anchor, ('0x' || left(md5('3:p' || anchor), 12))::BIGINT AS hp, ('0x' || left(md5('3:e' || anchor), 12))::BIGINT AS he FROM anchors),
+dp AS (SELECT anchor, CASE WHEN x.other <> anchor THEN x.other WHEN y.other <> anchor THEN y.other END AS p FROM pl JOIN pr x ON x.place = hp % x.n JOIN pr y ON y.place = (hp % y.n + 1) % y.n),
+de AS (SELECT anchor, CASE WHEN x.other <> anchor THEN x.other WHEN y.other <> anchor THEN y.other END AS e FROM pl JOIN er x ON x.place = he % x.n JOIN er y ON y.place = (he % y.n + 1) % y.n)
+SELECT anchor, coalesce(own, p, e) AS negative FROM anchors LEFT JOIN o USING (anchor) LEFT JOIN dp USING (anchor) LEFT JOIN de USING (anchor)
+""")
 def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: draws are by a hash that SQL engines do not share."""
+    """Every other anchor has no negative of its own and draws from the pool of all."""
     pairs = _pairs(spark, sf_dir)
-    own = pairs.where("score <= 2").select(F.col("a").alias("anchor"), F.col("b").alias("other"))
+    own = pairs.where("score <= 2 AND a % 2 = 0").select(F.col("a").alias("anchor"), F.col("b").alias("other"))
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"))
     return retrieval.negative_samples(pairs.select(F.col("a").alias("anchor")).distinct(), own, own.select("other"), 3, docs)
+
+
+@query("hard_pairs", f"""
+WITH {_POOL}, s AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, CASE WHEN a.quality <> b.quality THEN 3 ELSE 0 END + CASE WHEN a.lang = 'en' OR b.lang = 'en' THEN 2 ELSE 0 END + CASE WHEN a.doc_id % 3 <> b.doc_id % 3 THEN 1 ELSE 0 END AS score
+    FROM pool a JOIN pool b ON a.source = b.source AND a.doc_id < b.doc_id WHERE a.quality <> b.quality),
+l AS (SELECT * FROM s WHERE (a + b) % 5 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, a, b) AS nth FROM l)
+SELECT source, a, b, score FROM n WHERE nth <= 8 ORDER BY source, nth LIMIT 65
+""")
+def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose outcomes differ, best contrasts first, at most 8 a source and 65 in all, none seen before (a sampling operator)."""
+    pool = _pool(spark, sf_dir)
+    pairs = rel.unordered_pairs(pool, "doc_id", "source")
+    for side in ("a", "b"):
+        pairs = pairs.join(pool.select(F.col("doc_id").alias(side), F.col("quality").alias(f"quality_{side}"), F.col("lang").alias(f"lang_{side}")), side)
+    pairs = pairs.where("quality_a <> quality_b")
+    score = retrieval.hard_pair_score(F.col("quality_a") == F.col("quality_b"), (F.col("lang_a") == "en") | (F.col("lang_b") == "en"), F.col("a") % 3 != F.col("b") % 3)
+    seen = pairs.where("(a + b) % 5 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return retrieval.hard_pairs(pairs.select("source", "a", "b", score.alias("score")), seen, "source", "score")
+
+
+@query("suggested_pairs", f"""
+WITH d AS (SELECT o_orderkey AS k, (['collision', 'causing', 'unsafe', 'pit lane'])[o_orderkey % 5 + 1] AS bucket FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('9:' || k), k) AS i FROM d WHERE bucket IS NOT NULL),
+p AS (SELECT x.bucket, x.k AS a, y.k AS b, y.i - x.i AS step, x.i FROM r x JOIN r y ON x.bucket = y.bucket AND y.i - x.i BETWEEN 1 AND 3 WHERE (x.k + y.k) % 3 <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY step, i) AS nth FROM p)
+SELECT bucket, least(a, b) AS a, greatest(a, b) AS b FROM f WHERE nth = 1
+""")
+def suggested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    title = F.get(F.array(*[F.lit(t) for t in ("Collision at turn", "Causing trouble", "Unsafe start", "Pit lane work", "Nothing special")]), (k % 5).cast("int"))
+    o = load(spark, sf_dir, "orders").select(k.alias("doc_id"), title.alias("title"))
+    # seen pairs: all neighbours in a ring whose ids add up to a multiple of three
+    order = Window.partitionBy("title").orderBy(F.md5(F.concat_ws(":", F.lit("9"), F.col("doc_id").cast("string"))), "doc_id")
+    seen = None
+    for n in (1, 2, 3):
+        part = o.select(F.col("doc_id").alias("b"), F.lead("doc_id", n).over(order).alias("a")).where("(a + b) % 3 = 0")
+        seen = part if seen is None else seen.unionByName(part)
+    return retrieval.suggest_pairs(o, seen.select("a", "b"), "doc_id", "title", 9)
+
+
+@query("weighted_bm25", """
+WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+') AS head, regexp_extract_all(lower(text), '[a-z0-9]+') AS body FROM documents),
+l AS (SELECT *, 2.0::DOUBLE * len(head) + len(body) AS dl FROM d), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+u AS (SELECT doc_id, dl, unnest(head) AS term, 2.0::DOUBLE AS w FROM l UNION ALL SELECT doc_id, dl, unnest(body), 1.0::DOUBLE FROM l),
+p AS (SELECT doc_id, dl, term, sum(w) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln((s.n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM p, s GROUP BY term, s.n),
+x AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 4) AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10
+""")
+def weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the first line count twice more: stands for a rank by field weights."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("head"))
+    asked = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
+    return retrieval.bm25(docs, asked, "doc_id", {"head": 2.0, "text": 1.0}, "item_id", "q", 10)
+
+
+@query("lexical_only", f"WITH {_BM25} SELECT item_id, doc_id, round(1.0::DOUBLE / (60 + rank), 6) AS rrf_score, rank FROM lexr WHERE rank <= 10")
+def lexical_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search without a vector model: the lexical list alone is fused."""
+    return retrieval.fuse([_lexical(spark, sf_dir, 10), None], ["item_id"], "doc_id", 10).select("item_id", "doc_id", "rrf_score", "rank")
+
+
+@query("neighbour_cards", f"""
+WITH {_VECTORS.format(where='')} SELECT query AS src, key AS dst, score, rank, d.lang, d.source FROM vr JOIN documents d ON d.doc_id = key WHERE rank <= 5 AND query % 10 = 0 AND rank <= 3
+""")
+def neighbour_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored edges of some items, best three, joined to the cards of their neighbours."""
+    from lodestone.sources.tables import keep
+
+    edges = keep(knn_edges(spark, sf_dir), "edges")
+    cards = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("dst"), "lang", "source")
+    return edges.where("src % 10 = 0 AND rank <= 3").join(cards, "dst").select("src", "dst", "score", "rank", "lang", "source")
+
+
+@query("adjudicated_pairs", """
+WITH p AS (SELECT event_id, (['similar', 'dissimilar'])[event_id % 2 + 1] AS proposed, (['similar', 'dissimilar', 'drop', NULL])[event_id % 4 + 1] AS verdict, (['high', 'low', NULL])[event_id % 3 + 1] AS confidence FROM events)
+SELECT event_id, coalesce(verdict <> proposed, true) AS flip, coalesce(verdict <> proposed, true) OR coalesce(confidence = 'low', false) OR coalesce(verdict = 'drop', false) AS flagged FROM p
+""")
+def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    deal = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (k % len(values)).cast("int"))
+    p = load(spark, sf_dir, "events").select("event_id", deal(["similar", "dissimilar"]).alias("proposed"), deal(["similar", "dissimilar", "drop", None]).alias("verdict"), deal(["high", "low", None]).alias("confidence"))
+    return retrieval.adjudicate(p).select("event_id", "flip", "flagged")
+
+
+@query("numbered_lists", """
+SELECT c_mktsegment, string_agg(n || '. ' || c_name, chr(10) ORDER BY n) AS document FROM (SELECT c_mktsegment, c_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer QUALIFY n <= 20) GROUP BY 1
+""")
+def numbered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rel.first_per_key(load(spark, sf_dir, "customer"), ["c_mktsegment"], [F.col("c_custkey")], 20)
+    return retrieval.numbered_list(c, ["c_mktsegment"], "c_custkey", F.col("c_name"))

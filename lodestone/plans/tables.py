@@ -190,11 +190,13 @@ def capped_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fold_dimension", """
 WITH f AS (SELECT o_custkey, year(o_orderdate)::INTEGER AS season, max(o_orderkey) AS number, bool_or(o_orderstatus = 'O') AS active FROM orders GROUP BY ALL)
-SELECT o_custkey, array_to_string(list_sort(list_distinct(list(season))), ',') AS seasons, max_by(number, season) AS number, bool_or(active) AS active FROM f GROUP BY 1
+SELECT o_custkey, array_to_string(list_sort(list_distinct(list(season))), ',') AS seasons, max_by(number, season) AS number, bool_or(active) AS active,
+    string_agg(season || ':' || number, ',' ORDER BY season) AS numbers FROM f GROUP BY 1
 """)
 def fold_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("season")).agg(F.max("o_orderkey").alias("number"), F.bool_or(F.col("o_orderstatus") == "O").alias("active"))
-    return rel.fold_dimension(o, "o_custkey", "season", "number", "active").withColumn("seasons", F.array_join("seasons", ","))
+    numbers = F.transform(F.map_entries("numbers"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return rel.fold_dimension(o, "o_custkey", "season", "number", "active").withColumn("seasons", F.array_join("seasons", ",")).withColumn("numbers", F.array_join(numbers, ","))
 
 
 @query("array_set_algebra", """

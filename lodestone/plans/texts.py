@@ -159,7 +159,7 @@ RULING = (
 
 
 @query("ruling_fields", r"""
-SELECT s_suppkey AS doc_id, (s_suppkey % 99 + 1)::INTEGER AS car, 'Ada Example' AS driver, 'race' AS session, (5 * (s_suppkey % 3 + 1))::VARCHAR || 's' AS code, 'collision' AS offence, (s_suppkey % 20 + 1)::INTEGER AS turn, true AS contact,
+SELECT s_suppkey AS doc_id, (s_suppkey % 99 + 1)::INTEGER AS car, 'Ada Example' AS driver, 'race' AS session, (5 * (s_suppkey % 3 + 1))::VARCHAR || 's' AS code, 'causing a collision' AS offence, (s_suppkey % 20 + 1)::INTEGER AS turn, true AS contact,
     '14:' || lpad((s_suppkey % 60)::VARCHAR, 2, '0') AS time, 2 AS points, 'video|telemetry' AS evidence FROM supplier
 """)
 def ruling_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

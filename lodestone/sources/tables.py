@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -15,3 +20,27 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            own = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _own.append("file://" + own)
+        base = _own[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: used several times, computed once, with no lineage."""
+    at = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Phrases of messages about incidents.
+INCIDENT_PHRASES = ("BLUE FLAG", "BLACK FLAG", "BLACK AND WHITE FLAG", "INCIDENT NOTED", "UNDER INVESTIGATION", "NOTED - ALLEGED BREACH")
+
+
 def dedup(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """First row of every key within the watermark: bounded state instead of a set that only grows."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -41,13 +45,49 @@ def alerts(stream: DataFrame, trigger: Column, cards: DataFrame, key: str) -> Da
     return stream.where(trigger).join(cards, key)
 
 
-def quota(stream: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """(keys, calls, over): calls so far and how many lie beyond the limit, by keyed state."""
+def alert_precedents(alerts_stream: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, out: str):
+    """A started query that gives each alert its k nearest stored vectors, batch by batch, as Parquet below ``out``.
+
+    A batch that runs again after a failure writes its own folder again, so no alert is told twice.
+    """
+    from lodestone.operators.retrieval import vector_top_k
+
+    def search(batch: DataFrame, number: int) -> None:
+        asked = batch.select(key, vector).dropDuplicates([key])
+        hits = vector_top_k(vectors, asked, key, vector, k).select(F.col("query").alias(key), F.col("key").alias("precedent"), "score", "rank")
+        batch.drop(vector).join(hits, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return alerts_stream.writeStream.trigger(availableNow=True).foreachBatch(search)
+
+
+def incident_message(category: Column, flag: Column, message: Column) -> Column:
+    """Whether a message of the race control is about an incident: a black flag, its category or one of the phrases."""
+    upper = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    told = upper(message).rlike("|".join(INCIDENT_PHRASES))
+    return ((upper(category) == "FLAG") & upper(flag).isin("BLACK", "BLACK AND WHITE")) | (upper(category) == "INCIDENT") | told
+
+
+def quota(stream: DataFrame, user: str, ts: str, limit: int, delay: str) -> DataFrame:
+    """(user, day, calls, over): calls of a UTC day so far and how many lie beyond the limit, by keyed state.
+
+    The state of a day goes once the watermark has passed its end; later calls of that day are late
+    and not counted.
+    """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        calls = (state.get[0] if state.exists else 0) + sum(map(len, frames))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = sum(map(len, frames))
+        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        now = state.getCurrentWatermarkMs()
+        if end <= now:
+            return
+        calls = (state.get[0] if state.exists else 0) + rows
         state.update((calls,))
-        yield pd.DataFrame([[*key, calls, max(0, calls - limit)]], columns=[*keys, "calls", "over"])
+        state.setTimeoutTimestamp(max(end, now + 1))
+        yield pd.DataFrame([[*key, calls, max(0, calls - limit)]], columns=[user, "day", "calls", "over"])
 
-    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
-    return stream.select(*keys).groupBy(*keys).applyInPandasWithState(count, f"{kinds}, calls bigint, over bigint", "calls bigint", "update", GroupStateTimeout.NoTimeout)
+    kind = stream.schema[user].dataType.simpleString()
+    timed = stream.withWatermark(ts, delay).withColumn("day", F.to_date(ts)).select(user, "day", ts)
+    return timed.groupBy(user, "day").applyInPandasWithState(count, f"{user} {kind}, day date, calls bigint, over bigint", "calls bigint", "update", GroupStateTimeout.EventTimeTimeout)

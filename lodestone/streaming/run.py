@@ -6,27 +6,11 @@ committed batch. ``complete`` and ``update`` results go through ``foreachBatch``
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources import load
-
-_own: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-stream-"))
-        base = _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from lodestone.sources.tables import scratch
 
 
 def event_stream(spark: SparkSession, folder: str, table: str = "events", ts: str = "ts") -> DataFrame:

@@ -145,7 +145,7 @@ def test_ruling_rules(spark):
     body = "No / Driver 4 - Lando  Norris\n63 - George Russell\nTime 13:05\nSession Sprint Qualifying\nFact Cars 4, 16 and 63 avoided contact.\nDecision Drop of three grid positions.\nReason Stewards heard from the driver.\nThe Stewards\nJohn Smith\nMaria de Silva\n"
     r = rulings.extract_fields(spark.createDataFrame([(1, body), (2, None)], "id int, raw_text string")).orderBy("id").collect()
     a, b = r
-    assert (a.car, a.driver, a.time, a.session, a.contact, a.outcome, a.grid) == (4, "Lando Norris", "13:05", "sprint_qualifying", False, "grid_drop", 3)
+    assert (a.car, a.driver, a.time, a.session, a.contact, a.outcome, a.grid) == (4, "Lando Norris", "13:05", "sprint_qualifying", False, "grid penalty", 3)
     assert a.involved == [16, 63] and [s.number for s in a.subjects] == [4, 63] and a.signatories == ["John Smith", "Maria de Silva"]
     assert b.car is None and b.contact is None and b.confidence == 0.0
 
@@ -155,7 +155,7 @@ def test_panel_and_guidelines(spark):
     assert sorted(r.name for r in rulings.panel_from_boxes(w).collect()) == ["Ann Lee", "Bo Ray"]
     lines = spark.createDataFrame([("g", i, t) for i, t in enumerate(["STARTS", "1.1 Wait for lights", "and go", "PIT LANE", "2.1 Slow"])], "doc_id string, line_no int, text string")
     got = sorted((r.section, r.article, r.text) for r in rulings.guideline_articles(lines).collect())
-    assert got == [("PIT LANE", "2.1", "2.1 Slow"), ("STARTS", "1.1", "1.1 Wait for lights and go")]
+    assert got == [("PIT LANE", "2.1", "Slow"), ("STARTS", "1.1", "Wait for lights and go")]
 
 
 def test_label_space_and_model_gate(spark):
