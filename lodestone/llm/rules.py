@@ -129,12 +129,13 @@ def estimate(sample: DataFrame, rules: Sequence[Rule], text: str = "text", runs:
     sample = sample.cache()
     try:
         n = max(1, sample.count())
+        stats = word_stats(sample, text)
 
         def best(hit: Column) -> tuple[float, int]:
             times, count = [], 0
             for _ in range(runs):
                 began = time.perf_counter()
-                count = word_stats(sample, text).agg(F.count(F.when(hit, 1))).first()[0]
+                count = stats.agg(F.count(F.when(hit, 1))).first()[0]
                 times.append(time.perf_counter() - began)
             return min(times), count
 

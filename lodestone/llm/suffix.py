@@ -379,6 +379,43 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     return staged.filter(F.col("n_bytes").isNotNull()).select(*names).unionByName(waiting.mapInArrow(complete, done_schema))
 
 
+def prefix_doubling(docs: DataFrame, text: str = "text", length: int = LENGTH, space: Workspace | None = None) -> DataFrame:
+    """(_key, p): every byte position whose string of ``length`` bytes starts elsewhere too, by plain prefix doubling.
+
+    Positions carry the rank of their first 8 bytes; in each round Spark sorts pairs of the ranks at p
+    and at p plus a doubled offset and ranks them anew (a rank is the least position that has the
+    pair), and positions with a pair of their own drop out. The last offset reaches the threshold.
+
+    This is the reference that ``remove_repeats`` is held against. Its first rounds keep nearly every
+    byte of a corpus as a row, which no disk budget near the input's size can hold (README).
+    """
+    space = space or Workspace(docs.sparkSession, "doubling")
+    body = F.coalesce(F.col(text), F.lit("")).cast("string")
+    rows = space.save(docs.select(F.monotonically_increasing_id().alias("_key"), body.alias("_text")), "texts")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def positions(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+            for key, t in zip(b.column("_key").to_pylist(), b.column("_text"), strict=True):
+                raw = np.frombuffer(t.as_buffer(), np.uint8)
+                if len(raw) >= length:
+                    at = np.arange(len(raw) - GRAM + 1)
+                    first = np.lib.stride_tricks.sliding_window_view(raw, GRAM)
+                    yield [np.full(len(at), key), at, np.ascontiguousarray(first).view("<i8").ravel()]
+
+        yield from _emit(batches, positions, pa.schema([("_key", pa.int64()), ("p", pa.int64()), ("rank", pa.int64())]))
+
+    ranks, known = rows.mapInArrow(spread, "_key bigint, p bigint, rank bigint"), GRAM
+    ranks = space.save(ranks, "ranks").withColumn("rank", F.struct(F.col("rank").alias("_key"), F.lit(0).cast("bigint").alias("p")))
+    while known < length:
+        step = min(known, length - known)
+        there = ranks.select("_key", (F.col("p") - step).alias("p"), F.col("rank").alias("second"))
+        pairs = space.save(ranks.join(there, ["_key", "p"]).select("_key", "p", F.col("rank").alias("first"), "second"), "pairs")
+        classes = pairs.groupBy("first", "second").agg(F.min(F.struct("_key", "p")).alias("rank"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        ranks = space.save(pairs.join(classes, ["first", "second"]).select("_key", "p", "rank"), "ranks")
+        known += step
+    return ranks.select("_key", "p")
+
+
 def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the same columns and the repeated bytes taken out of the text.
 

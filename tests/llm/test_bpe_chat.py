@@ -74,3 +74,24 @@ def test_format_table(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest()
     assert got[1].loss_chars == 1 and got[2].loss_chars == 0
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_not_binds_looser_than_comparisons_and_hyphens_trim():
+    show = lambda source, **v: chat.compile_template(source)(**v)[0]
+    assert show("{% if not a == b %}x{% else %}y{% endif %}", a=1, b=2) == "x"
+    assert show("{% if not a == b %}x{% else %}y{% endif %}", a=1, b=1) == "y"
+    assert show("{% if not not a and not b < c %}x{% endif %}", a=1, b=3, c=2) == "x"
+    assert show("{% if not (a or b) %}x{% endif %}", a=0, b=0) == "x"
+    assert show("a \n {%- set x = 'q' -%} \n b {{- x -}}  c {{ x }} d", ) == "abqc q d"
+    assert chat.compile_template("{%- generation -%} {{ t }} {%- endgeneration -%} z")(t=" k ") == (" k z", [(0, 3)])
+
+
+def test_long_conversation_and_clashing_columns(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} </s> ") for i in range(4000)] + [(2, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for name in ("formatted", "spans", "turns", "messages"):
+        df = df.withColumn(name, df.turn)
+    got = {r.conv_id: r for r in chat.digest_formatted(chat.format_conversations(df)).collect()}
+    assert got[1].n_turns == 4000 and got[2].n_turns == 1
+    loss = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert got[1].loss_chars == len(loss) and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()

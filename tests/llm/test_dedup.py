@@ -216,6 +216,18 @@ def test_suffix_matches_brute_force(spark):
     check_suffix(spark, texts)
 
 
+def test_suffix_matches_plain_doubling(spark):
+    rng = random.Random(12)
+    shared = "".join(rng.choices("abcdé ", k=420))
+    texts = [shared[i * 7 : i * 7 + 300] + "".join(rng.choices("xyz ", k=60)) for i in range(8)] + ["ab" * 150, "", None, "z" * 199]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    cover = defaultdict(set)
+    for r in sx.prefix_doubling(df).collect():
+        cover[r["_key"]].update(range(r["p"], r["p"] + 200))
+    got = {r.doc_id: r.n_removed for r in sx.remove_repeats(df).collect()}
+    assert sorted(got.values()) == sorted(len(cover[k]) for k in range(len(texts))) and sum(got.values()) > 1000
+
+
 def test_suffix_chunks_change_nothing(spark, monkeypatch):
     rng = random.Random(2)
     long = "".join(rng.choices("abcdefgh ", k=9000))

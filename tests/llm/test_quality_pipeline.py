@@ -1,15 +1,17 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as cp
-from lodestone.llm import bpe, minhash, registry, sql
+from lodestone.llm import bpe, registry, sql
 from lodestone.llm import knn_quality as kq
 from lodestone.llm.common import SPACE_CHARS
 
@@ -40,6 +42,35 @@ def test_scores_of_odd_rows(spark, odd, nothing):
     assert {r.score for r in kq.score(odd, untaught).collect()} == {0.5}
 
 
+def edit_distance(a, b):
+    """By whole rows of the table, without a band."""
+    names = {w: i for i, w in enumerate({*a, *b})}
+    x, y = (np.array([names[w] for w in t]) for t in (a, b))
+    step = np.arange(len(y) + 1)
+    row = step.copy()
+    for i, w in enumerate(x, 1):
+        new = np.minimum(np.concatenate(([i], row[:-1] + (y != w))), np.concatenate(([i], row[1:] + 1)))
+        row = np.minimum.accumulate(new - step) + step
+    return int(row[-1])
+
+
+def test_votes_match_brute_force(spark):
+    """Scores against cosines of every labelled row computed one by one."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdef" if i % 3 else "wxyz!", k=rng.randint(2, 6))) for _ in range(rng.randint(5, 40)))) for i in range(160)]
+    docs = spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id bigint, quality int")
+    model = kq.train(docs, labels)
+    texts = dict([*rows, (900, "")])
+    for r in kq.score(docs, model).collect():
+        z = (kq.term_counts(texts.get(r.doc_id, "").encode()) - model.mean) @ model.basis
+        z = z / max(float(np.sqrt(sum(float(c) ** 2 for c in z))), 1e-9)
+        near = sorted(((sum(float(a) * float(b) for a, b in zip(z, v, strict=True)), k) for k, v in enumerate(model.vectors)), reverse=True)[: kq.NEIGHBOURS]
+        votes = [((min(1.0, max(0.0, c)) ** 8 + 1e-6) * model.weights[k], model.labels[k]) for c, k in near]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes)
+        assert abs(r.score - want) < 1e-3, (r.doc_id, r.score, want)
+
+
 def brute_pipeline(sf):
     """The pipeline without Spark: SQL for rules and mixing, all pairs, all strings, a reference tokenizer."""
     con = duckdb.connect()
@@ -53,13 +84,17 @@ def brute_pipeline(sf):
             x = root[x]
         return x
 
-    ids = [minhash.word_ids(r[1] or "").astype("int64") for r in docs]
-    pairs = [(i, j) for i in range(len(docs)) for j in range(i)]
-    near = minhash.similar([(ids[i], ids[j]) for i, j in pairs])
-    for (i, j), same in zip(pairs, near, strict=True):
-        if same or docs[i][1] == docs[j][1]:
-            a, b = find(docs[i][0]), find(docs[j][0])
-            root[max(a, b)] = min(a, b)
+    split = [re.findall(r"\w+", (r[1] or "").lower()) for r in docs]
+    bags = [Counter(w) for w in split]
+    for i in range(len(docs)):
+        for j in range(i):
+            longest = max(len(split[i]), len(split[j]))
+            same = docs[i][1] == docs[j][1]
+            if not same and longest and min(len(split[i]), len(split[j])) >= 0.8 * longest and sum((bags[i] & bags[j]).values()) >= 0.8 * longest:
+                same = edit_distance(split[i], split[j]) <= 0.2 * longest + 1e-9
+            if same:
+                a, b = find(docs[i][0]), find(docs[j][0])
+                root[max(a, b)] = min(a, b)
     docs = [r for r in docs if find(r[0]) == r[0]]
     raw = [(r[1] or "").encode() for r in docs]
     count = Counter(t[p : p + 200] for t in raw for p in range(len(t) - 199))
@@ -69,7 +104,14 @@ def brute_pipeline(sf):
         for p in range(len(t) - 199):
             if count[t[p : p + 200]] > 1:
                 cover[p : p + 200] = b"\1" * 200
-        left.append(bytes(x for x, c in zip(t, cover, strict=True) if not c).decode(errors="ignore"))
+        # a character goes with any of its bytes
+        at, kept = 0, []
+        for c in t.decode():
+            n = len(c.encode())
+            if not any(cover[at : at + n]):
+                kept.append(c)
+            at += n
+        left.append("".join(kept))
     con.execute("DROP VIEW documents")
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], t, r[2]) for r, t in zip(docs, left, strict=True)])
@@ -91,6 +133,7 @@ def test_pipeline_matches_brute_force(spark):
         out = stage(spark, before, sf)
         assert out.columns == docs.columns, name
         before = out.cache()
+    assert [r.ids for r in cp.STAGES[-1][1](spark, before, sf).limit(1).collect()][0]
     worded = {r.doc_id for r in before.collect() if r.text.strip(SPACE_CHARS)}
     got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in cp.run(spark, sf).collect() if r.doc_id in worded)
     assert got == brute_pipeline(sf)
@@ -101,3 +144,17 @@ def test_every_query_runs(spark):
     for name, query in registry.queries().items():
         if name != "pipeline":
             assert query(spark, sf).count() > 0, name
+
+
+def test_stages_carry_odd_rows(spark, odd, nothing):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables in every stage."""
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns, name
+        for r in out.collect():
+            assert r.n_words == 7 and r.kept == 7 and r.score == 7 and r.failed_rule == 7, name
+        assert stage(spark, nothing, "").count() == 0, name
+    last = cp.STAGES[-1][1](spark, odd, "")
+    assert last.count() == odd.count() and cp.STAGES[-1][1](spark, nothing, "").count() == 0
+    kept = {r.doc_id for r in cp.quality_stage(spark, odd, "").collect()}
+    assert {1, 2, 3, 7} <= kept and not kept & {4, 5, 6, 11}

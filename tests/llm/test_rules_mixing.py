@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import mixing, rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +44,23 @@ def test_order_changes_work_but_not_verdict(spark, odd):
     assert rules.cascade_order(estimates) == ["cheap", "dear", "idle"]
 
 
+def test_sample_is_bounded_and_seeded(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE concat('text ', id) END AS text").repartition(40)
+    assert 300 <= rules.sample_texts(df).count() <= rules.SAMPLE_ROWS
+    # what the tasks of the draw emit together does not grow with their number
+    drawn = df.filter(F.rand(rules.SAMPLE_SEED) < 1.5 * rules.SAMPLE_ROWS / 20_000).count()
+    assert drawn < 2 * rules.SAMPLE_ROWS
+    assert rules.sample_texts(df.limit(0)).count() == 0 and rules.sample_texts(df.limit(7)).count() == 7
+
+
+def test_verdict_alone_is_the_same(odd):
+    names = [r.name for r in rules.DEFAULT_RULES]
+    whole = rules.quality_rules(odd, order=names).select("doc_id", "text", "kept").collect()
+    alone = rules.quality_rules(odd, order=names, verdict_only=True)
+    assert sorted(map(str, alone.select("doc_id", "text", "kept").collect())) == sorted(map(str, whole))
+    assert "n_symbols" not in alone.columns and "failed_rule" not in alone.columns
+
+
 def test_rules_on_empty_table(nothing):
     assert rules.quality_rules(nothing).count() == 0
 
@@ -93,3 +112,13 @@ def test_mix_odd_rows(odd, nothing):
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_mix_tells_null_and_repeated_ids_apart(spark):
+    rows = [(None if i % 2 else 1, "s", f"{i} " + "w " * 9) for i in range(400)] + [(None, "t", "v " * 5)] * 4000
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.mix(docs).collect()
+    size = sum(r.size for r in got)
+    assert sum(r.size for r in got if r.source == "s") == 4000 and {r.source_size for r in got if r.source == "s"} == {4000}
+    target = next(r.target for r in got if r.source == "s")
+    assert abs(sum(r.taken for r in got if r.source == "s") - target) <= 10 and size == 24_000
