@@ -47,11 +47,19 @@ def first_contained(text: Column, terms: Sequence[tuple[str, str]], default: str
 SUBSTITUTES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("–", "-"), ("—", "-"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), (" ", " "))
 
 
+#: Marks and headers that every page of a ruling repeats.
+PAGE_MARKS = r"(?i)FIA\s+F1\s+Document\s+\d+/\d{4}|Fédération\s+Internationale\s+de\s+l'Automobile[^\n]*(?:\n|\z)|THE\s+STEWARDS\s+OF\s+THE\s+MEETING\s*\n?"
+
+
 def clean(text: Column, drop_lines: str = r"(?m)^[ \t]*(?:page[ \t]+\d+(?:[ \t]+of[ \t]+\d+)?|[-_=*]{3,}|\d{1,3})[ \t]*$\n?") -> Column:
-    """Substitute characters, rejoin words cut at line ends, drop page and divider lines, trim."""
+    """Substitute characters, rejoin words cut at line ends, drop page marks, page and divider lines, trim."""
+    single = [(old, new) for old, new in SUBSTITUTES if len(new) == 1]
+    text = F.translate(text, "".join(o for o, _ in single), "".join(n for _, n in single))
     for old, new in SUBSTITUTES:
-        text = F.replace(text, F.lit(old), F.lit(new))
+        if len(new) > 1:
+            text = F.replace(text, F.lit(old), F.lit(new))
     text = F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
+    text = F.regexp_replace(text, PAGE_MARKS, "")
     text = F.regexp_replace(text, "(?i)" + drop_lines, "")
     text = F.regexp_replace(text, r"[ \t]+\n", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
@@ -139,6 +147,25 @@ def snippet(text: Column, terms: Column, before: int = 60, after: int = 200) ->
     return F.when(at > 0, window).otherwise(head)
 
 
+def headline(text: Column, terms: Column, words: int = 30, before: int = 10) -> Column:
+    """One fragment of at most ``words`` words that begins ``before`` words ahead of the first term; else the first words."""
+
+    def cut(split: Column) -> Column:
+        at = F.array_min(F.filter(F.transform(split, lambda w, i: F.when(F.exists(terms, lambda t: F.array_contains(tokens(w), t)), i + 1)), lambda i: i.isNotNull()))
+        return F.array_join(F.slice(split, F.greatest(F.coalesce(at, F.lit(1)) - before, F.lit(1)).cast("int"), words), " ")
+
+    return let(F.split(F.btrim(text), r"[ \t\n]+"), cut)
+
+
+#: Endings that a stem loses, and the least length of a word that loses one.
+ENDINGS, LEAST_STEM = "(?:ations?|ings?|edly|ed|ly|ies|es|s)", 5
+
+
+def stem(term: Column) -> Column:
+    """A word without its ending: stands for an English stemmer."""
+    return F.when(F.length(term) >= LEAST_STEM, F.regexp_replace(term, ENDINGS + "$", "")).otherwise(term)
+
+
 def cue_count(text: Column, words: Sequence[str]) -> Column:
     """How often any of the words occurs, case aside."""
     return F.regexp_count(F.lower(text), F.lit(r"(?U)\b(" + "|".join(words) + r")\b"))

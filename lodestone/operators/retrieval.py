@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import first_contained, tokens
+from lodestone.functions.text import first_contained, let, stem, tokens
 from lodestone.sources.tables import keep
 
 #: Queries and vectors of one product of a vector search.
@@ -55,10 +55,25 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str | Mapping[str,
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def all_terms(text: Column, terms: Column) -> Column:
-    """Every term occurs in the text."""
-    found = tokens(text)
-    return F.forall(terms, lambda t: F.array_contains(found, t))
+def all_terms(text: Column, terms: Column, stemmed: bool = False) -> Column:
+    """Every term occurs in the text, word endings aside if ``stemmed``."""
+    found = F.transform(tokens(text), stem) if stemmed else tokens(text)
+    return let(found, lambda words: F.forall(terms, lambda t: F.array_contains(words, stem(t) if stemmed else t)))
+
+
+def hashed_tfidf(docs: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
+    """(key, bucket, weight): unit vectors of hashed terms by TF-IDF, 6 decimals: stands for a text model without one.
+
+    Buckets are md5 of the term modulo ``dims``, so any engine gets the same. Zero weights are no rows.
+    """
+    terms = docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.agg(F.count(F.lit(1)).alias("_n"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
+    idf = df.select("term", F.log((F.col("_n") + 1) / (F.col("df") + 1)).alias("idf"))
+    bucket = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("bigint") % dims
+    sums = terms.join(idf, "term").groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("tf") * F.col("idf")).alias("_w"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return sums.withColumn("weight", F.round(F.col("_w") / norm, 6)).where("weight <> 0").select(key, "bucket", "weight")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

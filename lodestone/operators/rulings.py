@@ -105,6 +105,12 @@ def part(text: Column, heading: str) -> Column:
     return tx.section(text, heading, HEADINGS)
 
 
+def reason(text: Column) -> Column:
+    """The reasons up to the notice on appeals that ends most rulings."""
+    cut = F.get(F.split(part(text, "reason"), r"(?i)competitors are reminded|decisions of the stewards are taken"), F.lit(0))
+    return F.nullif(F.btrim(cut, F.lit(" \n\t")), F.lit(""))
+
+
 def car_number(text: Column) -> Column:
     return F.coalesce(tx.extract_int(text, r"(?im)^\s*no\.? ?/ ?driver\s*:?\s*(\d{1,2})\b"), tx.extract_int(text, r"(?i)\b(?:cars?|no\.|#)\s*(\d{1,2})\b"))
 
@@ -376,7 +382,7 @@ def extract_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
             "lap": tx.extract_int(t, r"(?i)\blap\s+(\d{1,2})\b"),
             "turn": tx.extract_int(t, r"(?i)\bturn\s+(\d{1,2})\b"),
             "articles": tx.citations(t),
-            "reason": part(t, "reason"),
+            "reason": reason(t),
         }
     )
     filled = sum((F.col(c).isNotNull().cast("int") for c in ("car", "driver", "session", "offence", "outcome", "time", "reason")), F.lit(0))

@@ -233,3 +233,35 @@ def guideline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _deal(spark, sf_dir, [text], "supplier", "s_suppkey").select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "text"))
     out = rulings.guideline_articles(lines)
     return out.select("doc_id", F.initcap("section").alias("section"), "article", "text", "recommended")
+
+
+PARTS = [
+    (
+        "No / Driver {n} - Ada Example\n63 - Bo de Ray\nTime 10:00\nfrom the office\nTime 13:05\nSession Race\nFact Cars {n}, 16 and 63 made contact at turn 3 on lap 7.\nDecision 2 penalty points.\nReason The Stewards reviewed video and team radio. Car {n} was late. Competitors are reminded of their right to appeal.\nThe Stewards\nJohn Smith\nMaria de Silva\n",
+        "{n}:Ada Example|63:Bo de Ray", "16,63", True, "13:05", "2", "The Stewards reviewed video and team radio. Car {n} was late.", "John Smith|Maria de Silva",
+    ),
+    ("Car {n} was seen.\nFact Car {n} avoided any contact with Car 99.\nReason Nobody was to blame.\n", "", "99", False, None, None, "Nobody was to blame.", ""),
+    ("All teams.\nTime 25:61\nSession Race\n", "", "", None, None, None, None, ""),
+]
+
+
+@query("ruling_parts", f"""
+SELECT p_partkey AS doc_id, {_truth([p[1] for p in PARTS], "subjects")}, {_truth([p[2] for p in PARTS], "involved")}, {_truth([p[3] for p in PARTS], "contact", "BOOLEAN")}, {_truth([p[4] for p in PARTS], "time")},
+    {_truth([p[5] for p in PARTS], "points", "INTEGER")}, {_truth([p[6] for p in PARTS], "reason")}, {_truth([p[7] for p in PARTS], "signatories")} FROM part WHERE p_partkey % 19 + 2 NOT IN (16, 99)
+""")
+def ruling_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects, cars involved, contact, time, points, reasons and signatories of whole rulings."""
+    docs = rulings.extract_fields(_deal(spark, sf_dir, [p[0] for p in PARTS]).where("n <> 16"))
+    named = F.array_join(F.transform("subjects", lambda r: F.concat_ws(":", r["number"].cast("string"), r["name"])), "|")
+    return docs.select("doc_id", named.alias("subjects"), F.array_join(F.transform("involved", lambda x: x.cast("string")), ",").alias("involved"), "contact", "time", "points", "reason", F.array_join("signatories", "|").alias("signatories"))
+
+
+PAGES = [
+    ("FIA F1 Document 12/2024\nTHE STEWARDS OF THE MEETING\nThe deci-\nsion is ﬁnal – “no” more.\nPage 1 of 3\n\n\n\nEnd.   \n", "The decision is final - \"no\" more.\n\nEnd."),
+    ("Fédération Internationale de l’Automobile, Paris\nCar {n}\n-----\n7\n", "Car {n}"),
+]
+
+
+@query("clean_rulings", f"SELECT p_partkey AS doc_id, {_truth([p[1] for p in PAGES], 'text')} FROM part")
+def clean_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deal(spark, sf_dir, [p[0] for p in PAGES]).select("doc_id", rulings.tx.clean(F.col("raw_text")).alias("text"))

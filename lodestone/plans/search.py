@@ -329,3 +329,56 @@ SELECT c_mktsegment, string_agg(n || '. ' || c_name, chr(10) ORDER BY n) AS docu
 def numbered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = rel.first_per_key(load(spark, sf_dir, "customer"), ["c_mktsegment"], [F.col("c_custkey")], 20)
     return retrieval.numbered_list(c, ["c_mktsegment"], "c_custkey", F.col("c_name"))
+
+
+@query("stemmed_match", r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '(?:ations?|ings?|edly|ed|ly|ies|es|s)$', '') ELSE x END) AS t FROM documents)
+SELECT doc_id FROM d WHERE list_contains(t, 'with') AND list_contains(t, 'that')
+""")
+def stemmed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array(F.lit("withs"), F.lit("that"))
+    return load(spark, sf_dir, "documents").where(retrieval.all_terms(F.col("text"), terms, stemmed=True)).select("doc_id")
+
+
+@query("headlines", r"""
+WITH w AS (SELECT doc_id, string_split_regex(trim(text, ' '), '[ \t\n]+') AS w FROM documents),
+p AS (SELECT doc_id, w, list_min(list_filter(range(1, len(w) + 1), lambda i: list_contains(regexp_extract_all(lower(w[i]), '[a-z0-9]+'), 'with'))) AS pos FROM w)
+SELECT doc_id, array_to_string(list_slice(w, greatest(coalesce(pos, 1) - 10, 1), greatest(coalesce(pos, 1) - 10, 1) + 29), ' ') AS headline FROM p
+""")
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.functions.text import headline
+
+    return load(spark, sf_dir, "documents").select("doc_id", headline(F.col("text"), F.array(F.lit("with"))).alias("headline"))
+
+
+@query("hashed_vectors", """
+WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), f AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
+i AS (SELECT term, ln(((SELECT count(*) FROM benchmark) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM f GROUP BY 1),
+s AS (SELECT item_id, ('0x' || left(md5(term), 8))::BIGINT % 256 AS bucket, sum(tf * idf) AS w FROM f JOIN i USING (term) GROUP BY ALL),
+n AS (SELECT *, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM s)
+SELECT item_id, bucket, weight FROM n WHERE weight <> 0
+""")
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hashed_tfidf(load(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("recent_messages", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events) SELECT user_id, event_id FROM r WHERE nth <= 20 AND event_type IN ('error', 'purchase')
+""")
+def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest messages of each session, those of two kinds shown (a buffer of fixed size is the feature)."""
+    e = rel.capped(load(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.col("event_id")], 20)
+    return e.where(F.col("event_type").isin("error", "purchase")).select("user_id", "event_id")
+
+
+@query("recomputed_edges", f"WITH {_VECTORS.format(where='WHERE a.vec_id % 20 = 0')} SELECT query AS src, key AS dst, score, rank FROM vr WHERE rank <= 3")
+def recomputed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nightly job run twice: its edges replace each other, none is stored twice."""
+    from lodestone.sources.tables import scratch
+
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = scratch(spark, "nightly")
+    for _ in range(2):
+        edges = retrieval.vector_top_k(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3)
+        edges.select(F.col("query").alias("src"), F.col("key").alias("dst"), "score", "rank").write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)

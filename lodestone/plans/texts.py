@@ -51,7 +51,8 @@ for _old, _new in tx.SUBSTITUTES:
 
 @query("clean_text", rf"""
 WITH a AS (SELECT doc_id, regexp_replace({_SUBSTITUTE}, '(\p{{L}})-\n(\p{{Ll}})', '\1\2', 'g') AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(t, '(?im)^[ \t]*(?:page[ \t]+\d+(?:[ \t]+of[ \t]+\d+)?|[-_=*]{{3,}}|\d{{1,3}})[ \t]*$\n?', '', 'g') AS t FROM a),
+m AS (SELECT doc_id, regexp_replace(t, '(?i)FIA\s+F1\s+Document\s+\d+/\d{{4}}|Fédération\s+Internationale\s+de\s+l''Automobile[^\n]*(?:\n|\z)|THE\s+STEWARDS\s+OF\s+THE\s+MEETING\s*\n?', '', 'g') AS t FROM a),
+b AS (SELECT doc_id, regexp_replace(t, '(?im)^[ \t]*(?:page[ \t]+\d+(?:[ \t]+of[ \t]+\d+)?|[-_=*]{{3,}}|\d{{1,3}})[ \t]*$\n?', '', 'g') AS t FROM m),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM b)
 SELECT doc_id, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS digest FROM c
 """)
