@@ -95,7 +95,7 @@ class Space:
         self.kind = "<f4" if self.reach < 4096 else "<f8"  # integers below 2**24 are whole in 32 bits
         self.slack = 1e-6 * (1 + self.reach)
         lifted = self.lift(sample)
-        self.pivots = choose_pivots(lifted, int(np.clip(rows // 512, 1, PIVOTS)))
+        self.pivots = choose_pivots(lifted, int(np.clip(rows // 128, 1, PIVOTS)))
         rings = int(np.clip(rows // (2048 * len(self.pivots)), 1, RINGS))
         d = _distances(lifted, self.pivots)
         near = d.argmin(1)
