@@ -157,4 +157,4 @@ def test_stages_carry_odd_rows(spark, odd, nothing):
     last = cp.STAGES[-1][1](spark, odd, "")
     assert last.count() == odd.count() and cp.STAGES[-1][1](spark, nothing, "").count() == 0
     kept = {r.doc_id for r in cp.quality_stage(spark, odd, "").collect()}
-    assert {1, 2, 3, 7} <= kept and not kept & {4, 5, 6, 11}
+    assert {1, 2, 3} <= kept and not kept & {4, 5, 6, 7, 11}  # 7 repeats itself
