@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, html_blocks, knn_quality, minhash, mixing, passages, rules, sql, suffix, topk
+from lodestone.llm import bpe, chat, filter_audit, html_blocks, knn_quality, minhash, mixing, packing, passages, rules, spelling, sql, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_conversations(rows.unionByName(own)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,8 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_chat_format": op10_chat_format,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_packing": op12_packing,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op4_exact_top_k": sql.OP4, "op9_mix_sources": sql.OP9, "op10_chat_format": sql.OP10}
+    return {"op2_quality_rules": sql.OP2, "op4_exact_top_k": sql.OP4, "op9_mix_sources": sql.OP9, "op10_chat_format": sql.OP10, "op11_spelling_variants": sql.OP11, "op13_filter_audit": sql.OP13}

@@ -108,3 +108,94 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     (sum(length(text) + added))::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id
 """
+
+OP13 = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+), l AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+        len(words) < 200,
+        100 * len(list_distinct(words)) < 50 * len(words),
+        100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(w.doc_id > least, false)
+    ] AS fails
+    FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), c AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY part, fails
+), x AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places
+    FROM x a, x b, x c, x d, x e
+    WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i
+), s AS (
+    -- of rows that fail alike: the step that removes them, what they fail besides
+    SELECT part, filter_order, places, fails, n, n_good, n_toxic, len(list_filter(fails, lambda y: y)) AS n_fails,
+        coalesce(list_min([CASE WHEN fails[places[1]] THEN 1 END, CASE WHEN fails[places[2]] THEN 2 END, CASE WHEN fails[places[3]] THEN 3 END,
+            CASE WHEN fails[places[4]] THEN 4 END, CASE WHEN fails[places[5]] THEN 5 END]), 6) AS gone
+    FROM c CROSS JOIN o
+), r AS (
+    SELECT part, filter_order, k.step, any_value(places[k.step]) AS f,
+        coalesce(sum(n) FILTER (gone > k.step), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (gone = k.step), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fails[places[k.step]] AND gone < k.step), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails[places[k.step]] AND n_fails = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n_good) FILTER (gone = k.step), 0)::BIGINT AS good_lost,
+        coalesce(sum(n_toxic) FILTER (gone = k.step), 0)::BIGINT AS toxic_lost
+    FROM s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) k
+    GROUP BY part, filter_order, k.step
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+OP11 = r"""
+WITH RECURSIVE steps AS (
+    -- the table of the checksum: eight shifts of each byte
+    SELECT range AS byte, range AS c, 0 AS k FROM range(256)
+    UNION ALL
+    SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+), tab AS (
+    SELECT list(c ORDER BY byte) AS tab FROM steps WHERE k = 8
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+    SELECT id, run, hex(encode(id || ':' || run)) AS bytes, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(bytes) // 2 + 1), lambda i: ('0x' || substr(bytes, 2 * i - 1, 2))::BIGINT)),
+        lambda c, b: xor(c // 256, tab.tab[(xor(c, b) % 256) + 1]))) AS h
+    FROM counted CROSS JOIN tab
+), damaged AS (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), holes AS (
+    -- every word without each of its letters, and with a hole in its place
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+    UNION
+    SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.less = b.word
+    UNION
+    SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.less = b.word
+), best AS (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near
+), forms AS (
+    SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+        CASE WHEN near_n >= 5 * words.n THEN near END AS form, CASE WHEN near_n >= 5 * words.n THEN near_n END AS form_n
+    FROM words LEFT JOIN best ON words.word = best.word AND place = 1
+), paths AS (
+    SELECT word, word AS last, 0 AS steps FROM forms
+    UNION ALL
+    SELECT paths.word, forms.form, steps + 1 FROM paths JOIN forms ON paths.last = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT word, form, arg_max(last, steps) AS root, n, n_near, form_n FROM forms JOIN paths USING (word) GROUP BY word, form, n, n_near, form_n
+"""
