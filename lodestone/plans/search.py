@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import snippet, tokens
+from lodestone.operators import knn_graph as graphs
 from lodestone.operators import relational as rel
 from lodestone.operators import retrieval
 from lodestone.plans.registry import query
@@ -382,3 +383,24 @@ def recomputed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = retrieval.vector_top_k(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3)
         edges.select(F.col("query").alias("src"), F.col("key").alias("dst"), "score", "rank").write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
+
+
+@query("knn_graph", f"WITH {_VECTORS.format(where='')} SELECT query AS src, key AS dst, score, rank FROM vr WHERE rank <= 5")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of five nearest vectors by forest and neighbour descent; up to 1,024 vectors are one leaf, and exact."""
+    return graphs.knn_graph(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
+
+
+@query("incremental_edges", f"WITH {_VECTORS.format(where='')} SELECT query AS src, key AS dst, score, rank FROM vr WHERE rank <= 5")
+def incremental_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all vectors, which came in three batches: the last run twice, and replacing some vectors that were wrong before."""
+    from lodestone.sources.tables import scratch
+
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    store = graphs.EdgeStore(spark, scratch(spark, "edges"), 5)
+    wrong = v.where("vec_id % 25 = 0").withColumn("embedding", F.reverse("embedding"))
+    store.apply(0, v.where("vec_id % 2 = 0 AND vec_id % 25 <> 0").unionByName(wrong), "vec_id", "embedding")
+    store.apply(1, v.where("vec_id % 2 = 1 AND vec_id % 3 = 0 AND vec_id % 25 <> 0"), "vec_id", "embedding")
+    for _ in range(2):
+        edges = store.apply(2, v.where("(vec_id % 2 = 1 AND vec_id % 3 <> 0) OR vec_id % 25 = 0"), "vec_id", "embedding")
+    return edges

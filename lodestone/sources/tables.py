@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -44,3 +46,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     at = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table of Parquet files lies at ``path``, in any store that Spark reads."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the jobs that run inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
