@@ -8,8 +8,9 @@ bucket, needs no padding at all, and no sequence crosses documents.
 Sequences are numbered by bucket (longest first) without gaps: a task counts its pieces of each length
 while it cuts them, and the sums over tasks before it, a table of tasks by lengths, shift its numbers.
 
-The tokenizer pre-splits at white space, so equal words give equal ids wherever they stand: a task encodes each
-distinct word of a batch once, by the library, and remembers words within a bound.
+The tokenizer splits texts into words, digits and marks before it merges, so equal pieces give equal ids wherever
+they stand: a task encodes each distinct piece of a run of texts once, by the library, and remembers
+pieces within a bound.
 
 Defined cases: a null or empty text is one piece, the end id alone; very long texts are encoded whole,
 and no piece crosses documents; repeated rows are packed each by itself; a null id stays null; an empty
@@ -23,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +38,26 @@ from lodestone.llm.common import Workspace
 #: Fixed by contract.
 LONGEST = 2048
 END_ID = 1
-#: Characters of text and bytes of ids that a task holds at once, and words that a worker remembers.
+#: Characters of text that a task encodes at once, and pieces of a generation that a worker remembers (and those of one such run more).
 RUN_CHARS = 4_000_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 450_000
 #: ASCII white space separates pieces of every pre-tokenizer that splits at ``\s``.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Plain characters: ASCII, and letters and quotation marks that no normalization changes. Of them, letters are
+#: a-z and those from a grave to y with diaeresis, digits are 0-9, and white space is ASCII.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ«»¡¿–—‘’“”…]*")
+#: Fixed by the vocabulary: how it splits a text in lower case, for plain characters.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+|[0-9]")
+#: What special tokens begin with: texts that have it are split at white space alone, and the library finds them.
+SPECIAL = "<|"
 
 
 class WordEncoder:
-    """Token ids of texts, little-endian 32-bit, each distinct word encoded once while it is remembered.
+    """Token ids of texts, little-endian 32-bit, each distinct piece encoded once while it is remembered.
 
-    Right for tokenizers that neither keep white space nor look across it.
+    Right for tokenizers that lower letters, drop white space and split as ``PIECE`` does: texts of plain
+    characters are split by it, all others at white space alone, and the library splits those words itself.
+    Pieces are remembered in two generations, so that frequent ones stay when the older one goes.
     """
 
     def __init__(self, vocabulary: str, known: int = KNOWN_WORDS) -> None:
@@ -54,18 +65,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known, self.ids = known, {}
+        self.known, self.ids, self.older = known, {}, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) for t in texts]
-        new = list({w for words in split for w in words}.difference(self.ids))
-        if len(self.ids) + len(new) > self.known:
-            self.ids.clear()
-            new = list({w for words in split for w in words})
-        for word, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    def _learn_words(self, words: list[str]) -> None:
+        for word, made in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.ids[word] = np.array(made.ids, "<u4").tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Many in one call, a blank between them; the library tells which of them each id is of."""
+        groups = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            counts = np.bincount(np.array(made.word_ids, np.int64))
+            if len(counts) != len(group):
+                self._learn_words(group)
+                continue
+            flat, start = np.array(made.ids, "<u4").tobytes(), 0
+            for piece, end in zip(group, (4 * np.cumsum(counts)).tolist(), strict=True):
+                self.ids[piece] = flat[start:end]
+                start = end
+
+    def _new(self, lists: list[list[str]]) -> list[str]:
+        """Pieces that are not known; those of the older generation are, from now on."""
+        new = set(filterfalse(self.ids.__contains__, chain.from_iterable(lists)))
+        again = new.intersection(self.older)
+        self.ids.update((p, self.older[p]) for p in again)
+        return list(new - again)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.ids) > self.known:
+            self.ids, self.older = {}, self.ids
+        plain = [SPECIAL not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        split = [PIECE.findall(t.lower()) if p else WORD.findall(t) for t, p in zip(texts, plain, strict=True)]
+        self._learn_pieces(self._new([s for s, p in zip(split, plain, strict=True) if p]))
+        self._learn_words(self._new([s for s, p in zip(split, plain, strict=True) if not p]))
         at = self.ids.__getitem__
-        return [b"".join(map(at, words)) for words in split]
+        return [b"".join(map(at, pieces)) for pieces in split]
 
 
 @cache

@@ -171,11 +171,25 @@ def test_packing_of_odd_rows(spark, odd, nothing, tmp_path):
 
 
 def test_words_forgotten_are_encoded_again():
-    few = packing.WordEncoder(VOCABULARY, known=3)
+    few = packing.WordEncoder(VOCABULARY, known=9)
+    few._learn_pieces(["two words", "one"])  # not what the library splits off: each by itself
+    assert few.ids["two words"] == few.encode(["two words"])[0]
     many = packing.WordEncoder(VOCABULARY)
     texts = [" ".join(f"w{i % 7} x{i}" for i in range(j)) for j in range(12)]
     assert [few.encode([t])[0] for t in texts] == many.encode(texts)
-    assert len(few.ids) <= 22
+    assert len(few.ids) <= 30 and len(few.older) <= 30
+
+
+def test_plain_characters_split_as_the_library_does():
+    """Every plain character beside letters, digits, marks, white space and apostrophes."""
+    library, own = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY)
+    plain = [chr(c) for c in range(0x2100) if packing.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 190
+    texts = [t for c in plain for t in (f"a{c}b", f"{c}{c}1{c}", f".{c}'{c}s {c}", f"É{c}ß'll{c}")]
+    rng = np.random.default_rng(0)
+    texts += ["".join(rng.choice([*plain, "'", "s", "t", " ", "7"], 30)) for _ in range(2000)]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_lengths_add_up():
