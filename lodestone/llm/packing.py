@@ -72,17 +72,22 @@ class WordEncoder:
             self.ids[word] = np.array(made.ids, "<u4").tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        """Many in one call, a blank between them; the library tells which of them each id is of."""
-        groups = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            counts = np.bincount(np.array(made.word_ids, np.int64))
-            if len(counts) != len(group):
+        """Many in one call with a digit between them: a digit is a piece by itself, so no other piece has its id."""
+        digits = [p for p in pieces if p in "0123456789"]
+        self._learn_words(digits)
+        others = list(set(pieces).difference(digits))
+        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
+        groups = [others[i : i + 1000] for i in range(0, len(others), 1000)]
+        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" 0 ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)).tolist() if len(mark) == 1 else []
+            if len(ends) != len(group):
                 self._learn_words(group)
                 continue
-            flat, start = np.array(made.ids, "<u4").tobytes(), 0
-            for piece, end in zip(group, (4 * np.cumsum(counts)).tolist(), strict=True):
-                self.ids[piece] = flat[start:end]
-                start = end
+            flat, start = ids.tobytes(), 0
+            for piece, end in zip(group, ends, strict=True):
+                self.ids[piece] = flat[start : 4 * end]
+                start = 4 * end + 4
 
     def _new(self, lists: list[list[str]]) -> list[str]:
         """Pieces that are not known; those of the older generation are, from now on."""
