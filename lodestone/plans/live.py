@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
 from lodestone.sources import load
-from lodestone.sources.tables import scratch
+from lodestone.sources.feed import read_feed, stream_feed
+from lodestone.sources.tables import scratch, settings
 from lodestone.streaming import live
 from lodestone.streaming.run import event_stream, run_to_end
 
@@ -131,3 +132,39 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.writeStream.format("json").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     back = spark.read.schema("event_id bigint, user_id bigint, stored_at timestamp").json(out)
     return back.select("event_id", "user_id", F.col("stored_at").isNotNull().alias("stored"))
+
+
+@query("feed_scan", "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 20 AND user_id IN (SELECT unnest([1, 2, 3, 5, 8, 13]))")
+def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of a feed whose filters run at the source."""
+    rows = read_feed(spark, f"{sf_dir}/events.parquet", event_type="error")
+    return rows.where((F.col("value") > 20) & F.col("user_id").isin(1, 2, 3, 5, 8, 13)).select("event_id", "user_id", "value")
+
+
+@query("feed_stream", "SELECT event_id, ts, event_type FROM events")
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a stream with offsets of (time, id)."""
+    return run_to_end(stream_feed(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"), name="feed")
+
+
+@query("stream_recent_messages", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events) SELECT user_id, event_id, nth::INTEGER AS nth FROM r WHERE nth <= 200 AND event_type IN ('error', 'purchase')
+""")
+def stream_recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 200 messages of each session, kept as a list in the state of a stream; those of two kinds are shown."""
+    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": live.STATE_STORE}):
+        told = run_to_end(live.recent(event_stream(spark, sf_dir), "user_id", "ts", "event_id", 200, "90 days", DELAY, ["event_type"]), "update", "recent")
+    last = told.withColumn("_last", F.max("batch").over(Window.partitionBy("user_id"))).where(F.col("batch") == F.col("_last"))
+    return last.where(F.col("event_type").isin("error", "purchase")).select("user_id", "event_id", "nth")
+
+
+@query("stream_fan_out", """
+WITH s AS (SELECT event_id AS subscription, user_id, ts AS opened, ts + to_hours(event_id % 72) AS closed FROM events WHERE event_type = 'signup')
+SELECT m.event_id AS message, subscription FROM events m JOIN s ON m.user_id = s.user_id AND m.ts >= opened AND m.ts < closed WHERE m.event_type <> 'signup'
+""")
+def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of a stream to the subscriptions of its session that are open at its time: up to three days from a signup."""
+    e = event_stream(spark, sf_dir)
+    m = e.where("event_type <> 'signup'").select(F.col("event_id").alias("message"), "user_id", "ts")
+    s = event_stream(spark, sf_dir).where("event_type = 'signup'").select(F.col("event_id").alias("subscription"), "user_id", F.col("ts").alias("opened"), F.expr("ts + make_interval(0, 0, 0, 0, event_id % 72)").alias("closed"))
+    return run_to_end(live.fan_out(m, s, "user_id", "ts", "opened", "closed", DELAY).select("message", "subscription"), name="fan-out")

@@ -7,8 +7,6 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 
 #: Phrases of messages about incidents.
 INCIDENT_PHRASES = ("BLUE FLAG", "BLACK FLAG", "BLACK AND WHITE FLAG", "INCIDENT NOTED", "UNDER INVESTIGATION", "NOTED - ALLEGED BREACH")
@@ -68,26 +66,73 @@ def incident_message(category: Column, flag: Column, message: Column) -> Column:
 
 
 def quota(stream: DataFrame, user: str, ts: str, limit: int, delay: str) -> DataFrame:
-    """(user, day, calls, over): calls of a UTC day so far and how many lie beyond the limit, by keyed state.
+    """(user, day, calls, over): calls of a UTC day so far and how many lie beyond the limit, for update mode.
 
     The state of a day goes once the watermark has passed its end; later calls of that day are late
     and not counted.
     """
+    counts = stream.withWatermark(ts, delay).groupBy(user, F.window(ts, "1 day").alias("_w")).agg(F.count(F.lit(1)).alias("calls"))
+    return counts.select(user, F.to_date("_w.start").alias("day"), "calls", F.greatest(F.col("calls") - limit, F.lit(0).cast("bigint")).alias("over"))
+
+
+#: The state of keys with lists and timers is kept by this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = sum(map(len, frames))
-        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-        now = state.getCurrentWatermarkMs()
-        if end <= now:
-            return
-        calls = (state.get[0] if state.exists else 0) + rows
-        state.update((calls,))
-        state.setTimeoutTimestamp(max(end, now + 1))
-        yield pd.DataFrame([[*key, calls, max(0, calls - limit)]], columns=[user, "day", "calls", "over"])
-
-    kind = stream.schema[user].dataType.simpleString()
-    timed = stream.withWatermark(ts, delay).withColumn("day", F.to_date(ts)).select(user, "day", ts)
-    return timed.groupBy(user, "day").applyInPandasWithState(count, f"{user} {kind}, day date, calls bigint, over bigint", "calls bigint", "update", GroupStateTimeout.EventTimeTimeout)
+def recent(stream: DataFrame, by: str, ts: str, order: str, most: int, idle: str, delay: str, columns: Sequence[str] = ()) -> DataFrame:
+    """(by, ts, order, columns, nth): after each batch, the newest ``most`` rows of every key that the batch touched, newest first.
+
+    A key's rows are a list in its state. Once the watermark is ``idle`` beyond the newest of them, a timer drops the
+    list, so state holds no more than ``most`` rows for each key that is still alive. Needs a session with
+    ``STATE_STORE``. A row without a time or order number is dropped; of equal rows each counts.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    names = [ts, order, *columns]
+    held = StructType([stream.schema[c] for c in names])
+    told = StructType([stream.schema[by], *held.fields, StructField("nth", IntegerType())])
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    class Recent(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.rows = handle.getListState("rows", held)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            before = pd.DataFrame(list(self.rows.get()), columns=names) if self.rows.exists() else None
+            parts = [f[names] for f in rows]
+            every = pd.concat([*([before] if before is not None and len(before) else []), *parts]).sort_values([ts, order], ascending=[False, True], kind="stable").head(most)
+            self.rows.put([tuple(r) for r in every.itertuples(index=False)])
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            end = int(every[ts].iloc[0].timestamp() * 1000) + wait
+            self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+            yield every.assign(**{by: key[0], "nth": range(1, len(every) + 1)})[told.names]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.rows.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    rows = stream.where(F.col(ts).isNotNull() & F.col(order).isNotNull()).withWatermark(ts, delay).select(by, *names)
+    return rows.groupBy(by).transformWithStateInPandas(statefulProcessor=Recent(), outputStructType=told, outputMode="Update", timeMode="EventTime")
+
+
+def fan_out(messages: DataFrame, subscriptions: DataFrame, key: str, ts: str, opened: str, closed: str, delay: str, piece: str = "1 day") -> DataFrame:
+    """Each message with every subscription of its key that is open at its time: opened <= ts < closed.
+
+    Both are streams. A subscription is cut into pieces of at most ``piece``, so its rows leave the state once the watermark
+    is a piece beyond their start, however long it stays open, and a message once no earlier subscription can
+    come. One without an end or that ends before it begins reaches nothing. No other column names in common.
+    """
+    width = F.expr(f"INTERVAL {piece}")
+    span = subscriptions.where(F.col(opened) < F.col(closed))
+    starts = F.filter(F.sequence(F.col(opened), F.col(closed), width), lambda t: t < F.col(closed))
+    pieces = span.withColumn("_from", F.explode(starts)).withColumn("_until", F.least(F.col("_from") + width, F.col(closed))).withColumnRenamed(key, "_key")
+    pieces = pieces.withWatermark("_from", delay)
+    m = messages.withWatermark(ts, delay)
+    open_then = (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_until")) & (F.col(ts) < F.col("_from") + width)
+    return m.join(pieces, (F.col(key) == F.col("_key")) & open_then).drop("_key", "_from", "_until")
