@@ -7,14 +7,14 @@ under edits and not merely in their sets of k-mers. In texts under ``SHORT`` wor
 touches most five-word k-mers; they get as many keys of two-word k-mers besides.
 
 Texts under one key are compared with a leader, the least of them. Where the others of a key are then
-still in more than one class, the ``LEADERS`` texts with most links lead next and meet the texts of
-other classes, and where that leaves classes too, texts that agree in two neighbouring keys at once meet
-the least of those. So the pairs compared grow with the rows, whatever passages unlike texts share. Two
-texts are linked if the edit similarity of their words, 1 - distance / longer length, is at least
+still in more than one class (unlike texts around a common passage or template), each of them is sketched again,
+by the single words that it has beside its leader's: near copies share most of those and unlike texts hardly
+any two of them. Under these keys texts meet the least one again. So the pairs compared grow with the rows,
+whatever passages unlike texts share. Two texts are linked if the edit similarity of their words, 1 - distance / longer length, is at least
 ``SIMILARITY`` by banded alignment. Links are closed transitively.
 
-Candidates are probable and not certain: the share of pairs with a common key is a function of their
-similarity and is measured in the tests (README).
+Candidates are probable and not certain: the share of pairs that are compared is a function of their
+similarity and is measured in the tests (README), with and without templates.
 
 Exact copies meet first, by names of their texts that 128-bit digests have checked, so a group of
 copies of any size is one node.
@@ -44,8 +44,6 @@ from lodestone.llm.common import Names, Workspace, tagged
 K = 5
 SKETCHES = 64
 PICKS = 2
-#: Texts of a key that lead in the second round.
-LEADERS = 4
 #: Texts of fewer words get keys of two-word k-mers besides.
 SHORT, SHORT_K = 40, 2
 SIMILARITY = 0.8
@@ -140,6 +138,15 @@ def sketch(ids: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     return keys
 
 
+def sketch_residue(ids: np.ndarray, leader: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Keys of the words of a text that a leader's ``bag`` lacks, in text order; one key if it lacks none."""
+    h = with_occurrence(_mix(ids.astype(U)))
+    at = np.searchsorted(leader, h)
+    at[at == len(leader)] = 0
+    own = h[leader[at] != h] if len(leader) else h
+    return _sketch(own, block) if len(own) else np.zeros(1, np.int64)
+
+
 # ---------------------------------------------------------------- verification
 
 
@@ -340,35 +347,36 @@ def near_links(keyed: DataFrame, space: Workspace) -> DataFrame:
     pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
     tried = space.save(hits.filter(alike).select(*pair).distinct(), "pairs")
     links = verified(tried)
-    rest = hits.filter("c > 2").select("key", "node", "n")
+    rest = hits.filter("c > 2").select("key", "leader", "node", "n")
 
     def still_open(rest: DataFrame) -> DataFrame:
-        """``rest`` with root and degree, without the keys whose members are in one class."""
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        labels = degree.join(components(links, space), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "degree")
-        rest = rest.join(space.save(labels, "labels"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+        """``rest`` with root, without the keys whose members are in one class."""
+        rest = rest.join(components(links, space), "node", "left").select("key", "leader", "node", "n", F.coalesce("root", "node").alias("root"))
         rest = space.save(rest, "rest")
         open_ = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         return space.save(rest.join(open_.hint("merge"), "key"), "left")
 
-    # second round: the texts with most links lead
+    # second round: what a member has beside the words of its leader, sketched by itself
     left = still_open(rest)
     if left.isEmpty():
         return links
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
-    leaders = left.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= LEADERS)
-    leaders = space.save(leaders.select("key", F.col("node").alias("leader"), F.col("root").alias("leader_root"), F.col("n").alias("leader_n")), "leaders")
-    pairs = left.join(leaders.hint("merge"), "key").filter("root <> leader_root").filter(alike).select(*pair).distinct()
-    pairs = space.save(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    links, tried = links.unionByName(verified(pairs)), tried.unionByName(pairs)
-    # third round: keys of two neighbouring sketches, which unlike texts around a common passage seldom share
-    left = still_open(left.select("key", "node", "n").join(leaders.select("key", F.col("leader").alias("node")).hint("merge"), ["key", "node"], "left_anti"))
-    if left.isEmpty():
-        return links
-    crowd = nodes.join(left.groupBy("node").agg(F.min("root").alias("root")).hint("merge"), "node")
-    twin = F.transform("keys", lambda k, i: F.xxhash64(i, k, F.get("keys", (i + 1) % F.size("keys"))))
-    fine = crowd.select("node", "n", "root", F.explode(twin).alias("key"))
+
+    def sketch_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _Texts()
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                keys = [sketch_residue(np.frombuffer(x, "<u4").astype(np.int64), texts[y][1]) for x, y in zip(part.column("words_a").to_pylist(), part.column("words_b").to_pylist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("leader", "node", "n", "root")], lists], names=["leader", "node", "n", "root", "keys"])
+
+    led = space.save(left.select("leader", "node", "n", "root").distinct(), "led")
+    half = space.save(led.join(words.select("node", F.col("words").alias("words_a")).hint("merge"), "node"), "half")
+    both = half.join(words.select(F.col("node").alias("leader"), F.col("words").alias("words_b")).hint("merge"), "leader").select("leader", "node", "n", "root", "words_a", "words_b")
+    residue = space.save(both.mapInArrow(sketch_rest, "leader bigint, node bigint, n int, root bigint, keys array<bigint>"), "residue")
+    space.drop("*-half")
+    space.release()
+    fine = residue.select("leader", "node", "n", "root", F.posexplode("keys").alias("j", "value")).select("node", "n", "root", F.xxhash64("leader", "j", "value").alias("key"))
     heads = fine.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     heads = heads.select("key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.root").alias("leader_root"))
     pairs = fine.join(heads.hint("merge"), "key").filter("root <> leader_root").filter(alike).select(*pair).distinct()

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lodestone.llm import minhash as mh
 from lodestone.llm import passages as ps
@@ -89,6 +90,27 @@ def test_recall_by_similarity():
         assert len(hits) >= 50 and sum(hits) / len(hits) >= (0.9 if band < 0.85 else 0.97), (band, sum(hits) / len(hits))
 
 
+@pytest.mark.parametrize("template,own,every,common", [(150, 50, 5, False), (100, 100, 6, False), (140, 60, 4, False), (120, 80, 5, True), (150, 50, 5, True), (75, 25, 5, False)])
+def test_recall_within_a_template(spark, template, own, every, common):
+    """End to end: pairs of near copies that share a template with all other texts, which are unlike them.
+
+    Every ``every``-th own word differs, so hardly an own run of five words is left; ``common``: own words come from 400 words.
+    """
+    rng = random.Random(template + own + every)
+    shared = words(rng, template)
+    pool = [f"pool{i}" for i in range(400)]
+    docs = []
+    for p in range(60):
+        mine = [pool[min(int(rng.paretovariate(0.7)), 399)] for _ in range(own)] if common else [f"own{p}x{i}" for i in range(own)]
+        other = [f"changed{p}x{i}" if i % every == every - 1 else w for i, w in enumerate(mine)]
+        docs += [(2 * p, " ".join(shared + mine)), (2 * p + 1, " ".join(shared + other))]
+    got = {r.doc_id: r.class_id for r in mh.near_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    found = sum(got[2 * p] == got[2 * p + 1] for p in range(60))
+    assert found >= 59, found
+    # unlike texts stay apart (own words from a small pool may make two pairs alike)
+    assert common or len(set(got.values())) == 120 - found
+
+
 def test_names_are_told_apart(spark):
     from lodestone.llm.common import Names, Workspace
 
