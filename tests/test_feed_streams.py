@@ -46,7 +46,7 @@ def test_filters_reach_the_source(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
     # nothing is left for Spark to filter
     assert "BatchScan" in plan and "Filter" not in plan.replace("RuntimeFilters", "")
-    assert df.count() == 7
+    assert df.count() == 8
     # row groups without any such row are not even partitions
     reader = feed.FeedReader(str(tmp_path / "f"), feed.FeedSource({"path": str(tmp_path / "f")}).schema())
     everything = len(reader.partitions())
