@@ -179,3 +179,31 @@ def link_messages(incidents: DataFrame, messages: DataFrame) -> DataFrame:
     timed = (delta >= -120) & ((delta <= 900) | (agrees & (delta <= 1800)))
     fits = F.when(F.col("incident_time").isNull(), F.when(binding, agrees).otherwise(spoken)).otherwise(F.coalesce(timed, F.lit(False)))
     return pairs.where(turns & ~deleted & fits).select("incident_id", "message_id").distinct()
+
+
+def span_millis(text: Column) -> Column:
+    """A time span as text, "1 days 02:03:04.567", "-1 days +23:59:59", "2:03:04", "3:04.5", in whole milliseconds.
+
+    Cut towards zero, as a number would be; null for anything else.
+    """
+    shape = r"^\s*(?:(-?\d{1,6}) days?,? \+?)?(-)?(?:(\d{1,5}):)?(\d{1,5}):(\d{1,2}(?:\.\d{1,9})?)\s*$"
+    part = lambda i, kind: F.coalesce(F.nullif(F.regexp_extract(text, shape, i), F.lit("")), F.lit("0")).cast(kind)
+    clock = (part(3, "bigint") * 3600 + part(4, "bigint") * 60).cast("decimal(28,9)") + part(5, "decimal(18,9)")
+    total = part(1, "bigint").cast("decimal(28,9)") * 86_400 + F.when(F.regexp_extract(text, shape, 2) == "-", -clock).otherwise(clock)
+    millis = total * 1000
+    return F.when(text.rlike(shape), F.when(millis < 0, F.ceil(millis)).otherwise(F.floor(millis)).cast("bigint"))
+
+
+def lap_starts(samples: DataFrame, laps: DataFrame, session: str, date: str, offset: str, lap_offset: str) -> DataFrame:
+    """``laps`` with ``origin`` and ``started``: when each lap began, from offsets since the start of its session's streams.
+
+    samples: every sample of every stream with its date and its offset in milliseconds. A sample is never ahead
+    of its offset, only late, so a session's origin is the greatest (date - offset) of all its streams, rounded to
+    milliseconds (half to even). Laps without an offset, or of sessions without samples, have null.
+    """
+    micros = F.unix_micros(F.col(date).cast("timestamp")) - F.col(offset) * 1000
+    origin = samples.groupBy(session).agg(F.max(micros).alias("_micros"))
+    millis = F.bround(F.col("_micros").cast("decimal(20,0)") / 1000, 0).cast("bigint")
+    instant = lambda ms: F.timestamp_millis(ms).cast("timestamp_ntz")
+    out = laps.join(origin, session, "left")
+    return out.withColumn("origin", instant(millis)).withColumn("started", instant(millis + F.col(lap_offset))).drop("_micros")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries when imported.
-MODULES = ("consistency", "tables", "time_joins", "search", "texts", "models", "live", "resolution", "ruling_texts", "files", "entry_points", "ranked_text")
+MODULES = ("consistency", "tables", "time_joins", "search", "texts", "models", "live", "resolution", "ruling_texts", "files", "entry_points", "ranked_text", "fits")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
