@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import Names, Workspace, tagged
+from lodestone.llm.common import Names, Workspace, settings, tagged
 
 K = 5
 SKETCHES = 64
 PICKS = 2
+#: Texts, or pairs of them, in one Arrow batch at most.
+BATCH_ROWS = 1000
 #: Texts of fewer words get keys of two-word k-mers besides.
 SHORT, SHORT_K = 40, 2
 SIMILARITY = 0.8
@@ -199,7 +201,7 @@ class _Texts(dict):
     """Packed words to (ids, bag) of the texts met last; pairs come in order of one side."""
 
     def __missing__(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > 1000:
+        if len(self) > 300:
             self.clear()
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
         known = self[packed] = ids, bag(ids)
@@ -293,10 +295,15 @@ class _Keyed:
 
 def near_links(keyed: DataFrame, space: Workspace) -> DataFrame:
     """(a, b): verified links between nodes of ``keyed`` (node, row, text)."""
+    with settings(keyed.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        return _near_links(keyed, space)
+
+
+def _near_links(keyed: DataFrame, space: Workspace) -> DataFrame:
 
     def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
+            for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 2000)
                 ids = [word_ids(t) for t in part.column("text").to_pylist()]
                 keys = [sketch(i) for i in ids]
