@@ -37,10 +37,14 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str | No
 
 def first_contained(text: Column, terms: Sequence[tuple[str, str]], default: str | None = None) -> Column:
     """Value of the first term contained in the lower-cased text."""
-    out = F.lit(default).cast("string")
-    for term, value in reversed(list(terms)):
-        out = F.when(F.lower(text).contains(term), F.lit(value)).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for term, value in reversed(list(terms)):
+            out = F.when(low.contains(term), F.lit(value)).otherwise(out)
+        return out
+
+    return let(F.lower(text), first)
 
 
 #: Characters and what stands for them in clean text.

@@ -375,10 +375,10 @@ def extract_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
     df = df.withColumn("_t", t)
     t = F.col("_t")
     out = df.withColumns({name: f(t) for name, f in FIELDS.items()})
+    out = out.withColumn("offence", tx.let(t, lambda x: tx.first_rule(x, OFFENCES)))
     out = out.withColumns(
         {
-            "offence": tx.first_rule(t, OFFENCES),
-            "category": category_of(tx.first_rule(t, OFFENCES)),
+            "category": category_of(F.col("offence")),
             "lap": tx.extract_int(t, r"(?i)\blap\s+(\d{1,2})\b"),
             "turn": tx.extract_int(t, r"(?i)\bturn\s+(\d{1,2})\b"),
             "articles": tx.citations(t),

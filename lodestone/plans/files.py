@@ -256,3 +256,33 @@ def linked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.replace(F.replace("t", F.lit("{c}"), F.col("car").cast("string")), F.lit("{o}"), (F.col("car") + 30).cast("string"))
     messages = messages.select(k.cast("string").alias("session_key"), (k * 10 + F.col("m")).alias("message_id"), message.alias("message"), F.timestamp_micros(F.unix_micros("at") + F.col("d") * 1_000_000).alias("message_time"), F.lit(None).cast("int").alias("number"))
     return temporal.link_messages(incidents, messages)
+
+
+_FIRST = ("Nish", "Loïc", "Vitantonio", "Zheng", "Ann", "Bo", "Mazen", "Eve")
+_LAST = ("Shetty", "Liuzzi", "O'Hara", "van der Berg", "Lee", "Al Hilli", "Pirro", "Dean-Fox", "de Ray")
+
+
+@query("signed_panels", f"""
+WITH n AS (SELECT s_suppkey AS k, s_suppkey % 6 + 2 AS m, s_suppkey % 2 + 2 AS c, unnest(range(0, (s_suppkey % 6 + 2)::BIGINT)) AS i FROM supplier),
+t AS (SELECT k, m, c, i, ({list(_FIRST)!r})[(k + i) % 8 + 1] || ' ' || ({[x.replace("'", "''") for x in _LAST]})[(3 * k + i) % 9 + 1] AS name FROM n)
+SELECT k AS doc_id, string_agg(name, '|' ORDER BY i % c, i // c) AS members, first(name ORDER BY i) AS chair FROM t WHERE m BETWEEN 3 AND 6 GROUP BY k
+""".replace('"', "'"))
+def signed_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two to seven names in two or three columns, one page a supplier, with names and paragraphs above and below."""
+    from lodestone.operators import panels
+
+    k = F.col("s_suppkey")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), (at % len(names)).cast("int"))
+    n = load(spark, sf_dir, "supplier").select(k.alias("doc_id"), (k % 6 + 2).alias("m"), (k % 2 + 2).alias("c"))
+    rows = F.ceil(F.col("m") / F.col("c"))
+    names = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    i, c, d = F.col("i"), F.col("c"), F.col("doc_id")
+    named = names.select("doc_id", (600 + 30 * F.expr("i div c") + (d + i) % 3).cast("double").alias("top"), (46 + 250 * (i % c)).cast("double").alias("x"), F.concat_ws(" ", pick(_FIRST, d + i), pick(_LAST, 3 * d + i)).alias("line"))
+    fixed = F.array(*[F.struct(F.lit(t).alias("line"), top.cast("double").alias("top")) for t, top in (
+        ("Jo Bauer", F.lit(520)), ("Competitors are reminded of their right to Appeal", F.lit(560)), ("The Stewards", 600 + 30 * rows), ("Ann Late", 640 + 30 * rows),
+    )])
+    other = n.select("doc_id", F.inline(fixed)).select("doc_id", "top", F.lit(46.0).alias("x"), "line")
+    words = named.unionByName(other).withColumn("w", F.split("line", " ")).select("doc_id", "top", "x", "w", F.posexplode("w").alias("j", "text"))
+    before = F.aggregate(F.slice("w", 1, F.col("j")), F.lit(0.0), lambda s, t: s + 7.5 * F.length(t) + 6.0)
+    boxes = words.select("doc_id", "text", "top", (F.col("x") + before).alias("x0"), (F.col("x") + before + 7.5 * F.length("text")).alias("x1"))
+    return panels.panels(boxes).select("doc_id", F.array_join("members", "|").alias("members"), "chair")
