@@ -186,54 +186,7 @@ def stack(train: DataFrame, parts: Sequence[str], label: str, folds: int = 3, se
 
 
 def two_clusters(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """(group, key, cluster): average-link clustering of unit vectors into two, the larger one is 0.
+    """(grp, key, cluster): average-link clustering of unit vectors into two, the larger one (the speaker) is 0."""
+    from lodestone.operators.clusters import average_link
 
-    The average cosine between two clusters is the product of their sums over that of their sizes, so
-    a chain of nearest neighbours finds all merges with one vector a cluster and no table of pairs.
-    Groups are the clips of one speaker; a group is one task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key")
-        n = len(frame)
-        x = np.array(frame["vector"].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sums, size, alive = x.copy(), np.ones(n), np.ones(n, bool)
-        merges: list[tuple[float, int, int]] = []
-        chain: list[int] = []
-        while len(merges) < n - 1:
-            if not chain:
-                chain.append(int(alive.argmax()))
-            tip = chain[-1]
-            far = np.where(alive, 1 - sums @ sums[tip] / (size * size[tip]), np.inf)
-            far[tip] = np.inf
-            near = int(far.argmin())
-            if len(chain) > 1 and far[chain[-2]] <= far[near]:
-                other = chain[-2]
-                del chain[-2:]
-                merges.append((float(far[other]), other, tip))
-                sums[other] += sums[tip]
-                size[other] += size[tip]
-                alive[tip] = False
-            else:
-                chain.append(near)
-        # the closest merges first; the last one would join the two clusters
-        owner = list(range(n))
-
-        def root(i: int) -> int:
-            while owner[i] != i:
-                owner[i] = owner[owner[i]]
-                i = owner[i]
-            return i
-
-        for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - 2)]:
-            owner[root(b)] = root(a)
-        roots = np.array([root(i) for i in range(n)])
-        names, first, counts = np.unique(roots, return_index=True, return_counts=True)
-        rank = {names[k]: r for r, k in enumerate(np.lexsort((first, -counts)))}
-        return pd.DataFrame({"grp": frame["grp"], "key": frame["key"], "cluster": [rank[o] for o in roots]})
-
-    rows = df.select(F.col(group).cast("bigint").alias("grp"), F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    return rows.groupBy("grp").applyInPandas(cluster, "grp bigint, key bigint, cluster int")
+    return average_link(df, group, key, vector)

@@ -16,6 +16,8 @@ from lodestone.sources.tables import keep
 QUERY_BLOCK, SEGMENT_ROWS = 1024, 16_384
 #: Query terms up to which documents are filtered in place; more are joined.
 VOCABULARY = 50_000
+#: Random partners of a document whose bucket has no unseen neighbours left.
+DRAWS = 8
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str | Mapping[str, float], query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -291,8 +293,9 @@ def suggest_pairs(docs: DataFrame, seen: DataFrame, key: str, title: str, seed:
     """(bucket, a, b): one unseen pair of every bucket of titles, each drawn by a seeded order.
 
     Documents of a bucket stand in a seeded ring, and each is paired with the next one; a bucket all
-    of whose neighbours have been seen goes on to the next but one, up to three places on. No bucket
-    is joined with itself.
+    of whose neighbours have been seen goes on to the next but one, up to three places on. Where those have all been seen too,
+    documents draw a random partner anywhere in the bucket, ``DRAWS`` each by a seeded hash, and the first unseen pair
+    counts. No bucket is joined with itself.
     """
     bucket = first_contained(F.col(title), [(w, w) for w in keywords])
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
@@ -300,8 +303,17 @@ def suggest_pairs(docs: DataFrame, seen: DataFrame, key: str, title: str, seed:
     ring = Window.partitionBy("bucket").orderBy("_o", "a")
     ahead = [F.struct(F.lit(n).alias("step"), F.lead("a", n).over(ring).alias("b")) for n in (1, 2, 3)]
     pairs = rows.withColumn("_next", F.array(*ahead)).select("bucket", "a", "_o", F.inline("_next")).where("b IS NOT NULL")
-    left = pairs.join(_unordered(seen).distinct(), [F.least("a", "b") == F.col("_low"), F.greatest("a", "b") == F.col("_high")], "left_anti")
-    return left.groupBy("bucket").agg(F.min_by(F.struct("a", "b"), F.struct("step", "_o")).alias("p")).select("bucket", F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
+    seen = _unordered(seen).distinct()
+    unseen = lambda p: p.join(seen, [F.least("a", "b") == F.col("_low"), F.greatest("a", "b") == F.col("_high")], "left_anti")
+    first = lambda p: p.groupBy("bucket").agg(F.min_by(F.struct("a", "b"), F.struct("step", "_o")).alias("p"))
+    near = keep(first(unseen(pairs)), "suggested")
+    placed = rows.withColumn("_place", F.row_number().over(ring) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    left = keep(placed.join(near.select("bucket"), "bucket", "left_anti").where("_n > 1"), "crowded")
+    draws = F.explode(F.sequence(F.lit(4), F.lit(3 + DRAWS))).alias("step")
+    drawn = left.select("*", draws).withColumn("_at", F.pmod(F.col("_place") + 1 + F.pmod(F.xxhash64(F.lit(seed), "a", "step"), F.col("_n") - 1), F.col("_n")))
+    far = drawn.join(left.select("bucket", F.col("_place").alias("_at"), F.col("a").alias("b")), ["bucket", "_at"])
+    found = near.unionByName(first(unseen(far.select("bucket", "a", "_o", "step", "b"))))
+    return found.select("bucket", F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
 
 
 def numbered_list(rows: DataFrame, by: Sequence[str], order: str, line: Column) -> DataFrame:

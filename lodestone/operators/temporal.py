@@ -169,7 +169,10 @@ def link_messages(incidents: DataFrame, messages: DataFrame) -> DataFrame:
     # one row a car on both sides: the join is on (session, car)
     i = incidents.withColumn("car", F.explode(F.array_distinct("cars")))
     m = m.withColumn("car", F.explode("named"))
-    pairs = i.join(m, ["session_key", "car"])
+    # with both times known, the join is by a time bucket too, so a busy car is spread over time
+    timed_pairs = window_join(i, m, ["session_key", "car"], "incident_time", "message_time", 120, 1800).drop("delta")
+    untimed_pairs = i.where("incident_time IS NULL").join(m, ["session_key", "car"]).select(*timed_pairs.columns)
+    pairs = timed_pairs.unionByName(untimed_pairs)
     binding = F.coalesce(F.col("category").isin([c for c, _ in OFFENCES]), F.lit(False))
     agrees = binding & F.coalesce(F.col("offence") == F.col("category"), F.lit(False))
     turns = F.col("corner").isNull() | F.col("turn").isNull() | (F.col("corner") == F.col("turn"))

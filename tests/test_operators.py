@@ -215,3 +215,16 @@ def test_calibration_of_scores(spark):
     assert out[0].p < 0.5 < out[-1].p
     bins = features.calibration_bins(spark.createDataFrame([(1.0, 1), (0.95, 1), (0.95, 0)], "p double, y int"), "p", F.col("y") == 1).collect()
     assert [(r.bin, r.n, r.accuracy) for r in bins] == [(9, 2, 0.5)]
+
+
+def test_suggestions_go_on_at_random(spark):
+    docs = spark.createDataFrame([(i, "a collision") for i in range(9)] + [(20, "blue flag"), (21, "blue flag")], "k bigint, t string")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    first = {r.bucket: (r.a, r.b) for r in retrieval.suggest_pairs(docs, none, "k", "t", 5).collect()}
+    assert set(first) == {"collision", "blue flag"}
+    every = [(a, b) for a in range(9) for b in range(a + 1, 9)]
+    # all pairs but a few are seen: one of those is drawn, the same at every run; the other bucket is done
+    for left in ([(0, 7), (2, 3), (4, 8), (1, 5), (3, 6)], every[:12]):
+        seen = spark.createDataFrame([(b, a) for a, b in every if (a, b) not in left] + [(20, 21)], "a bigint, b bigint")
+        got = [[(r.bucket, r.a, r.b) for r in retrieval.suggest_pairs(docs, seen, "k", "t", 5).collect()] for _ in range(2)]
+        assert got[0] == got[1] and len(got[0]) == 1 and got[0][0][1:] in left
