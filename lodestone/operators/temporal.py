@@ -93,13 +93,25 @@ def change_before(rows: DataFrame, keys: Sequence[str], step: str, value: str) -
 def greatest_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], left_key: str, spans: tuple[str, str, str, str], width: float, ties: Sequence[Column]) -> DataFrame:
     """Every left interval with the right interval that overlaps it most (none: dropped).
 
-    ``spans``: start and stop of left and right, in seconds. Both sides are copied to the buckets of
-    ``width`` seconds they touch; a pair counts in its first common bucket only.
+    ``spans``: start and stop of left and right, in seconds. Intervals have levels: at level m buckets are
+    ``width`` * 2**m seconds wide, and one is at the least level at which it touches two buckets at most. A pair meets at
+    the higher of its two levels, in its first common bucket, so an interval is copied to two buckets a level
+    of the other side above its own, however long it is.
     """
     ls, le, rs, re_ = (F.col(c) for c in spans)
-    left = left.withColumn("_bucket", F.explode(F.sequence(F.floor(ls / width), F.floor(le / width))))
-    right = right.withColumn("_bucket", F.explode(F.sequence(F.floor(rs / width), F.floor(re_ / width))))
-    pairs = left.join(right, [*keys, "_bucket"]).where(F.col("_bucket") == F.greatest(F.floor(ls / width), F.floor(rs / width)))
+    level = lambda s, e: F.when(e - s > width, F.ceil(F.log2((e - s) / width))).otherwise(0).cast("int")
+    top = lambda df, s, e: df.agg(F.coalesce(F.max(level(s, e)), F.lit(0)).alias("_top"))
+
+    def placed(df: DataFrame, other: DataFrame, s: Column, e: Column, name: str) -> DataFrame:
+        """``df`` with its own level (``name``), once for each level (_m) and bucket in which it may meet the other side."""
+        df = df.crossJoin(F.broadcast(other)).withColumn(name, level(s, e))
+        df = df.withColumn("_m", F.explode(F.sequence(F.col(name), F.greatest(F.col(name), F.col("_top"))))).drop("_top")
+        wide = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_m"))
+        return df.withColumn("_bucket", F.explode(F.sequence(F.floor(s / wide), F.floor(e / wide))))
+
+    joined = placed(left, top(right, rs, re_), ls, le, "_l").join(placed(right, top(left, ls, le), rs, re_, "_r"), [*keys, "_m", "_bucket"])
+    wide = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_m"))
+    pairs = joined.where((F.col("_m") == F.greatest("_l", "_r")) & (F.col("_bucket") == F.greatest(F.floor(ls / wide), F.floor(rs / wide)))).drop("_l", "_r", "_m")
     pairs = pairs.withColumn("overlap", F.least(le, re_) - F.greatest(ls, rs)).where("overlap > 0").drop("_bucket")
     rank = F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("overlap"), *ties))
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

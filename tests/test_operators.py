@@ -1,5 +1,6 @@
 """Boundary cases of the operators on literal tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,6 +76,21 @@ def test_overlap(spark):
     assert got == {1: (8, 50), 2: (8, 100)}
 
 
+def test_overlap_of_long_intervals(spark):
+    """Lengths from a second to a year, against all pairs; no interval is copied to every bucket that it touches."""
+    rng = random.Random(6)
+    make = lambda n: [("r", i, s, s + int(10 ** rng.uniform(0, 7.5))) for i, s in enumerate(rng.randrange(30_000_000) for _ in range(n))]
+    a, b = make(60), [*make(60), ("q", 99, 0, 40_000_000)]
+    left, right = spark.createDataFrame(a, "k string, a int, s bigint, e bigint"), spark.createDataFrame(b, "k string, b int, bs bigint, be bigint")
+    got = {r.a: (r.b, r.overlap) for r in temporal.greatest_overlap(left, right, ["k"], "a", ("s", "e", "bs", "be"), 60, [F.col("b")]).collect()}
+    want = {}
+    for _, i, s, e in a:
+        hits = [(min(e, be) - max(s, bs), -j) for k, j, bs, be in b if k == "r"]
+        if max(hits)[0] > 0:
+            want[i] = (-max(hits)[1], max(hits)[0])
+    assert got == want and len(want) > 30
+
+
 def test_severity_ladder(spark):
     codes = ["NFA", "WARN", "REP", "FINE", "5s", "10s", "20s", "30s", "DT", "SG", "GRID", "DSQ", "huh", None]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string")
