@@ -413,3 +413,87 @@ def test_exact_passages_are_covered(spark):
         spans = set().union(*(range(s.start, s.stop) for s in got[i].spans))
         total, missed = total + len(cover), missed + len(cover - spans)
     assert total > 1000 and missed <= 0.001 * total
+
+
+def test_passages_of_frequent_lines(spark):
+    """Pairs share a passage of four lines, each of which eight lesser texts hold singly, so most seeds lead elsewhere."""
+    rng = random.Random(41)
+    docs, n = [], 0
+    for p in range(30):
+        lines = [words(rng, 22) for _ in range(4)]
+        for line in lines:
+            for _ in range(8):
+                docs.append((n, " ".join(words(rng, 40) + line + words(rng, 40))))
+                n += 1
+        for _ in range(2):
+            docs.append((10_000 + n, " ".join(words(rng, 50) + sum(lines, []) + words(rng, 50))))
+            n += 1
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    holders = [d for d, _ in docs if d >= 10_000]
+    found = [d for d in holders if got[d].n_repeat_words >= 84 and got[d].n_links == 1]
+    # a pair whose seeds across the joints are fewer than two is missed (README)
+    assert len(found) >= 46, len(found)
+    # a line alone is too short to be a passage
+    assert not any(got[d].n_repeat_words for d, _ in docs if d < 10_000)
+
+
+@pytest.mark.parametrize("times", [20, 80])
+def test_a_line_many_times_makes_few_rows(times):
+    """Chains grow with the repeats; regions, which carry the words, with the words."""
+    chain = [(100, 112, 30 + 14 * i, 42 + 14 * i, []) for i in range(times)]
+    rows = ps.regions(ps.joined(chain), ps.REACH)
+    assert len(rows) == 1 and sum(len(c) for _, c in rows) == times
+    apart = [(100, 112, 30 + 500 * i, 42 + 500 * i, []) for i in range(times)]
+    assert len(ps.regions(ps.joined(apart), ps.REACH)) == times
+    # what follows closely on a diagonal is one chain, and can be split again where it was joined
+    near = [(30 * i, 12 + 30 * i, 31 * i, 12 + 31 * i, []) for i in range(5)]
+    ((whole, members),) = ps.regions(ps.joined(near), ps.REACH)
+    assert len(members) == 1 and members[0][:4] == (0, 132, 0, 136) and len(members[0][4]) == 16 and whole == [0, 132, 0, 136]
+
+
+def local_passages(a, b):
+    """Words of both in the best common stretch: 1 for a common word, -2 for one replaced, left out or added, all pairs of places."""
+    best = (0, 0, 0, 0, 0)
+    row = [(0, 0, j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [(0, i, 0)]
+        for j, y in enumerate(b, 1):
+            s = max((row[j - 1][0] + (1 if x == y else -2), *row[j - 1][1:]), (row[j][0] - 2, *row[j][1:]), (new[j - 1][0] - 2, *new[j - 1][1:]), key=lambda t: t[0])
+            new.append(s if s[0] > 0 else (0, i, j))
+            if s[0] > best[0]:
+                best = (s[0], s[1], i, s[2], j)
+        row = new
+    return best
+
+
+def test_fuzzy_passages_match_all_pairs(spark):
+    """Every pair of 40 texts aligned by itself: who is linked to whom, and where."""
+    rng = random.Random(43)
+    passages = [words(rng, n) for n in (60, 80, 100, 70, 30)]
+    texts = []
+    for i in range(40):
+        body = words(rng, rng.randint(20, 60))
+        for p in rng.sample(range(5), rng.randint(0, 2)):
+            held = list(passages[p])
+            for k in rng.sample(range(len(held)), len(held) // 14):
+                held[k] = f"edit{i}x{k}"
+            body += held + words(rng, rng.randint(20, 60))
+        texts.append(body)
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()}
+    named = {i: {p.passage for p in r.passages} for i, r in got.items()}
+    wrong = missed = pairs = 0
+    for i in range(40):
+        for j in range(i + 1, 40):
+            score, sa, ea, sb, eb = local_passages(texts[i], texts[j])
+            alike = min(ea - sa, eb - sb) >= ps.PASSAGE_WORDS
+            pairs += alike
+            linked = bool(named[i] & named[j])
+            wrong += linked and score < 25
+            missed += alike and not linked
+            if alike:
+                for d, (s, e) in ((i, (sa, ea)), (j, (sb, eb))):
+                    inside = sum(max(0, min(e, x.stop) - max(s, x.start)) for x in got[d].spans)
+                    assert inside >= 0.9 * (e - s), (d, s, e, got[d].spans)
+    assert pairs > 60 and wrong == 0 and missed <= 0.02 * pairs, (pairs, wrong, missed)
+    for i, r in got.items():
+        assert r.class_id == i and r.n_copies == 1 and r.n_links == sum(len(named[i] & named[j]) for j in range(40) if j != i)
