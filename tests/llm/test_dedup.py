@@ -497,3 +497,22 @@ def test_fuzzy_passages_match_all_pairs(spark):
     assert pairs > 60 and wrong == 0 and missed <= 0.02 * pairs, (pairs, wrong, missed)
     for i, r in got.items():
         assert r.class_id == i and r.n_copies == 1 and r.n_links == sum(len(named[i] & named[j]) for j in range(40) if j != i)
+
+
+def test_each_region_is_aligned_once(spark):
+    """More regions than one call of the alignment takes: none comes twice."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.common import Names, Workspace
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(400):
+        shared = words(rng, 60)
+        texts += [" ".join(words(rng, 20) + shared + words(rng, 20)) for _ in range(2)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    space = Workspace(spark, "once")
+    found = ps.shared_passages(Names(df, space).add(df, F.col("text"), "node").select("node", "text"), space)
+    rows = [tuple(r) for r in found.collect()]
+    assert len({r[:2] for r in rows}) == 400
+    assert len(rows) == len(set(rows)) == 400
