@@ -516,3 +516,77 @@ def test_each_region_is_aligned_once(spark):
     rows = [tuple(r) for r in found.collect()]
     assert len({r[:2] for r in rows}) == 400
     assert len(rows) == len(set(rows)) == 400
+
+
+def plain_extension(a, b, width=8):
+    """The alignment of greatest value from the start, cell by cell."""
+    value = {(0, j): -2 * j for j in range(min(width, len(b)) + 1)}
+    best = (0, 0, 0)
+    for i in range(1, len(a) + 1):
+        row = {}
+        for j in range(max(0, i - width), min(len(b), i + width) + 1):
+            ways = [value.get((i - 1, j - 1), -9999) + (1 if j and a[i - 1] == b[j - 1] else -2), value.get((i - 1, j), -9999) - 2, row.get((i, j - 1), -9999) - 2]
+            row[i, j] = max(ways)
+        if not row:
+            break
+        value = row
+        at = max(row, key=lambda c: (row[c], -c[1]))
+        if row[at] > best[0]:
+            best = (row[at], *at)
+        if row[at] <= best[0] - ps.DROP:
+            return best[1], best[2], False
+    return best[1], best[2], True
+
+
+def varied(rng, base, edits, letters):
+    out = list(base)
+    for _ in range(edits):
+        k = rng.randrange(len(out) + 1)
+        kind = rng.random()
+        if kind < 0.4:
+            out[k:k] = [rng.randrange(letters) for _ in range(rng.randint(1, 3))]
+        elif kind < 0.7:
+            out[k : k + rng.randint(1, 3)] = []
+        elif k < len(out):
+            out[k] = rng.randrange(letters)
+    return out
+
+
+def test_extension_matches_plain_alignment():
+    rng = random.Random(21)
+    pairs = []
+    for _ in range(150):
+        letters = rng.choice([2, 3, 8, 1000])
+        base = [rng.randrange(letters) for _ in range(rng.choice([0, 1, 7, 30, 120]))]
+        if rng.random() < 0.2 and base:
+            base = (base[: rng.randint(1, 4)] * 60)[:60]  # periodic
+        other = varied(rng, base, rng.choice([0, 1, 3, 10]), letters)
+        if rng.random() < 0.3:
+            other = other[: len(other) // 2] + [rng.randrange(letters) for _ in range(60)]
+        pairs.append((np.array(base, np.int64), np.array(other, np.int64)))
+    far_a, far_b, going = ps.extend(pairs)
+    for k, (a, b) in enumerate(pairs):
+        x, y, on = plain_extension(a.tolist(), b.tolist())
+        assert (far_a[k], far_b[k]) == (x, y), k
+        if len(a) <= len(b):  # past the end of b there is nothing to go on with
+            assert going[k] == on, k
+
+
+def test_edits_along_the_diagonals_are_enough():
+    rng = random.Random(22)
+    close = 0
+    for _ in range(300):
+        letters = rng.choice([4, 50, 1000])
+        a = [rng.randrange(letters) for _ in range(rng.randint(12, 80))]
+        b = varied(rng, a, rng.randint(0, 4), letters)
+        matches = [(i, j) for i in range(len(a) - ps.K + 1) for j in range(len(b) - ps.K + 1) if a[i : i + ps.K] == b[j : j + ps.K] and rng.random() < 0.5]
+        if not matches:
+            continue
+        x, y = (np.array(c) for c in zip(*matches, strict=True))
+        for chain in ps.chain_matches(x, y):
+            part = (chain[0][0], chain[-1][0] + ps.K, chain[0][1], chain[-1][1] + ps.K, ps.gaps(chain))
+            u, v = a[part[0] : part[1]], b[part[2] : part[3]]
+            bound, exact = ps.edits_at_most(part, np.array(u), np.array(v)), edit_distance(u, v)
+            assert exact <= bound
+            close += bound == exact
+    assert close > 200
