@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import minhash as mh
@@ -111,6 +112,18 @@ def test_recall_within_a_template(spark, template, own, every, common):
     assert common or len(set(got.values())) == 120 - found
 
 
+def test_each_text_is_sketched_once(monkeypatch):
+    """A batch is cut in slices that do not overlap: texts after the first 500 came twice."""
+    rng = random.Random(45)
+    texts = [" ".join(words(rng, 50)) for _ in range(mh.BATCH_ROWS)]
+    asked = []
+    monkeypatch.setattr(mh, "word_ids", lambda t, of=mh.word_ids: asked.append(t) or of(t))
+    batch = pa.RecordBatch.from_pydict({"node": list(range(len(texts))), "row": list(range(len(texts))), "text": texts})
+    out = list(mh.sketch_all(iter([batch])))
+    assert asked == texts and sum((b.column("node").to_pylist() for b in out), []) == list(range(len(texts)))
+    assert max(b.num_rows for b in out) <= mh.SLICE_ROWS
+
+
 def test_names_are_told_apart(spark):
     from lodestone.llm.common import Names, Workspace
 
