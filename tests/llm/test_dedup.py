@@ -450,6 +450,35 @@ def test_passages_of_frequent_lines(spark):
     assert not any(got[d].n_repeat_words for d, _ in docs if d < 10_000)
 
 
+@pytest.mark.parametrize("singly", [3, 12])
+def test_no_passage_of_frequent_lines_is_lost(spark, singly):
+    """All pairs that share four lines are found, with edits too, however many lesser texts hold the lines singly; the tests before let a fourth go."""
+    rng = random.Random(46)
+    docs, pairs, n = [], [], 0
+    for p in range(24):
+        lines = [words(rng, 22) for _ in range(4)]
+        docs += [(n + i, " ".join(words(rng, 40) + lines[i % 4] + words(rng, 40))) for i in range(4 * singly)]
+        n += 4 * singly
+        for i in range(2):
+            held = sum(lines, [])
+            if p % 2 and i:  # a word of every second line
+                held[10] = held[54] = f"edit{p}"
+            docs.append((10_000 + n + i, " ".join(words(rng, 50) + held + words(rng, 50))))
+        pairs.append((10_000 + n, 10_000 + n + 1))
+        n += 2
+    # pairs with one whole seed in common, which no other text has
+    for p in range(12):
+        falling = sorted(words(rng, 50), key=lambda w: -int(mh.word_ids(w)[0]))
+        held = falling[4:] + falling[:4]
+        assert len(ps.seeds(mh.word_ids(" ".join(held)))[1]) == 1
+        docs += [(20_000 + 2 * p + i, " ".join(words(rng, 50) + held + words(rng, 50))) for i in range(2)]
+        pairs.append((20_000 + 2 * p, 20_001 + 2 * p))
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    lost = [p for p in pairs if not {x.passage for x in got[p[0]].passages} & {x.passage for x in got[p[1]].passages}]
+    assert not lost, lost
+    assert not any(got[d].n_repeat_words for d, _ in docs if d < 10_000)
+
+
 @pytest.mark.parametrize("times", [20, 80])
 def test_a_line_many_times_makes_few_rows(times):
     """Chains grow with the repeats; regions, which carry the words, with the words."""
