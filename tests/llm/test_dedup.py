@@ -479,6 +479,16 @@ def test_no_passage_of_frequent_lines_is_lost(spark, singly):
     assert not any(got[d].n_repeat_words for d, _ in docs if d < 10_000)
 
 
+def test_seeds_are_taken_together():
+    keys, at = np.arange(1, 9), np.array([0, 10, 20, 30, 42, 50, 64, 200])
+    key, first, deep = ps.seeds_together(keys, at)
+    # 21 pairs of the first seven, and a run of each that are not neighbours; the last is too far from all
+    assert len(key) == 21 + 15 and len(set(key.tolist())) == len(key) and set(first.tolist()) == {0, 10, 20, 30, 42, 50}
+    # only runs of five seeds over 40 words go on to further leaders: pairs that far apart are shared by chance
+    assert sorted(first[deep].tolist()) == [0, 0, 0, 10, 10, 20]
+    assert all(len(x) == 0 for x in ps.seeds_together(keys[:1], at[:1]))
+
+
 @pytest.mark.parametrize("times", [20, 80])
 def test_a_line_many_times_makes_few_rows(times):
     """Chains grow with the repeats; regions, which carry the words, with the words."""
