@@ -590,6 +590,38 @@ def plain_extension(a, b, width=8):
     return best[1], best[2], True
 
 
+def test_an_extension_does_not_depend_on_others():
+    """Where the other text's words are over, a pair goes on, alone or beside longer ones; beside them it had ended."""
+    long = np.arange(90)
+    pair, other = (long, long[:40]), (long + 500, long + 500)
+    alone, beside = ps.extend([pair]), ps.extend([pair, other])
+    assert [int(x[0]) for x in alone] == [int(x[0]) for x in beside] == [40, 40, 1]
+
+
+def test_later_rounds_read_the_words_they_need(spark, monkeypatch):
+    """Texts are cut into words once, and what goes on beyond its words meets those of its own texts only."""
+    from lodestone.llm.common import Workspace
+
+    rng = random.Random(51)
+    shared, far = words(rng, 60), words(rng, 400)
+    texts = [" ".join(words(rng, 30) + shared + words(rng, 30)) for _ in range(60)]
+    # one seed at the front, the rest of the passage without any: the second round has to go on
+    falling = sorted(far, key=lambda w: -int(mh.word_ids(w)[0]))
+    texts += [" ".join(words(rng, 20) + falling[-5:] + falling[:-5] + words(rng, 20)) for _ in range(2)]
+    saved, save = [], Workspace.save
+
+    def kept(self, df, name="t", **options):
+        out = save(self, df, name, **options)
+        saved.append((name, out))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", kept)
+    got = {r.doc_id: r for r in ps.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [n for n, _ in saved].count("words") == 1
+    assert [d.count() for n, d in saved if n == "near"] == [2]
+    assert all(got[i].n_repeat_words >= 400 and got[i].n_links == 1 for i in (60, 61))
+
+
 def varied(rng, base, edits, letters):
     out = list(base)
     for _ in range(edits):
