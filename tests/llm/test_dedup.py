@@ -598,6 +598,16 @@ def test_an_extension_does_not_depend_on_others():
     assert [int(x[0]) for x in alone] == [int(x[0]) for x in beside] == [40, 40, 1]
 
 
+def test_extensions_of_any_lengths_are_those_of_each_pair():
+    rng = random.Random(52)
+    pairs = []
+    for n in (3, 900, 40, 0, 120, 2500, 7):
+        base = [rng.randrange(50) for _ in range(n)]
+        pairs.append((np.array(base, np.int64), np.array(varied(rng, base, n // 30, 50), np.int64)))
+    together, alone = ps.extended(pairs, cells=3000), [ps.extend([p]) for p in pairs]
+    assert [[int(x) for x in row] for row in zip(*together, strict=True)] == [[int(x[0]) for x in one] for one in alone]
+
+
 def test_later_rounds_read_the_words_they_need(spark, monkeypatch):
     """Texts are cut into words once, and what goes on beyond its words meets those of its own texts only."""
     from lodestone.llm.common import Workspace
