@@ -111,8 +111,11 @@ def join_keys(words: DataFrame) -> DataFrame:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): pairs of words exactly one edit apart, both ways round."""
-    keys = join_keys(words)
+    """(word, n, near, near_n): pairs of words exactly one edit apart, both ways round.
+
+    The hint: a word has some twenty keys, and Spark sizes the keys by the words' compressed file, so it would broadcast them.
+    """
+    keys = join_keys(words).hint("merge")
     a, b = keys.alias("a"), keys.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & (F.col("a.own") | F.col("b.own")))
     pairs = pairs.filter(F.levenshtein("a.word", "b.word", 1) == 1)
@@ -126,7 +129,7 @@ def roots(forms: DataFrame, space: Workspace) -> DataFrame:
     at = forms.select("word", F.col("form").alias("root"))
     for i in range(DOUBLINGS):
         at = space.save(at, f"roots{i}")
-        onward = at.select(F.col("word").alias("_from"), F.col("root").alias("_to"))
+        onward = at.select(F.col("word").alias("_from"), F.col("root").alias("_to")).hint("merge")
         at = at.join(onward, F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root"))
     return at
 
@@ -139,9 +142,9 @@ def variants(docs: DataFrame, text: str = "text", least_length: int = LEAST_LENG
     words = space.save(word_counts(docs, text, least_length, least_count), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
     near = near_words(words).groupBy(F.col("word").alias("_word")).agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    joined = words.join(near, F.col("word") == F.col("_word"), "left")
+    joined = words.join(near.hint("merge"), F.col("word") == F.col("_word"), "left")
     has = -F.col("best.less") >= factor * F.col("n")
     formed = space.save(joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(has, F.col("best.near")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(formed.filter("form IS NOT NULL"), space).withColumnRenamed("word", "_word")
-    out = formed.join(ends, F.col("word") == F.col("_word"), "left")
+    out = formed.join(ends.hint("merge"), F.col("word") == F.col("_word"), "left")
     return out.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -114,6 +114,14 @@ def test_a_shared_rare_bigram_makes_no_large_group(spark):
     assert sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 40 * len(words)
 
 
+def test_no_keys_are_broadcast(spark, tmp_path):
+    """The words' file is small enough for Spark to broadcast it, the keys made of it are not."""
+    spark.createDataFrame([("wordy", 5), ("words", 9)], "word string, n bigint").write.parquet(f"{tmp_path}/words")
+    near = spelling.near_words(spark.read.parquet(f"{tmp_path}/words"))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.word, r.near) for r in near.collect()) == [("words", "wordy"), ("wordy", "words")]
+
+
 def test_variants_of_odd_rows(spark, odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(spelling.variants(odd)) == brute_variants(brute_words(rows))
