@@ -180,6 +180,17 @@ def knn_graph(vectors: DataFrame, key: str, vector: str, k: int, leaf: int = LEA
     return edges.where(F.col("rank") <= k).select("src", "dst", "score", "rank")
 
 
+def exact_graph(vectors: DataFrame, key: str, vector: str, k: int, decimals: int = 6) -> DataFrame:
+    """(src, dst, score, rank): exactly the k nearest others of every vector, at the price of all products.
+
+    The graph of ``knn_graph`` gives each vector a score that k others reach; the products then hand on nothing below it.
+    """
+    near = keep(knn_graph(vectors, key, vector, k, decimals=decimals), "near")
+    # a step less, as sums in another order may round the other way
+    least = near.where(F.col("rank") == k).select(F.col("src").alias("key"), (F.col("score") - 10.0**-decimals).alias("score"))
+    return vector_top_k(vectors, vectors, key, vector, k, decimals, least).select(F.col("query").alias("src"), F.col("key").alias("dst"), "score", "rank")
+
+
 class EdgeStore:
     """An exact top-k edge table in a folder that grows by numbered batches of vectors.
 

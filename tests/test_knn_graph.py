@@ -6,6 +6,7 @@ import pytest
 from lodestone.operators import knn_graph as graphs
 from lodestone.operators import retrieval
 from lodestone.operators.retrieval import vector_top_k
+from lodestone.plans import registry
 
 
 def frame(spark, x, keys=None):
@@ -52,6 +53,19 @@ def test_graph_of_equal_and_unusable_vectors(spark):
     assert graphs.knn_graph(odd.where("key > 90"), "key", "v", 5).count() == 0
 
 
+def test_query_equals_sql_beyond_one_leaf(spark, tmp_path):
+    """2,500 spread vectors, some of them equal: descent alone misses some of their edges."""
+    import duckdb
+
+    x = np.random.default_rng(6).standard_normal((2500, 32)).astype(np.float32)
+    x[100:130] = x[7]
+    frame(spark, x).selectExpr("key AS vec_id", "cast(v AS array<float>) AS embedding", "0 AS label").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["knn_graph"]).fetchall())
+    assert sorted(map(tuple, registry.queries()["knn_graph"](spark, str(tmp_path)).collect())) == want
+
+
 def test_search_over_several_groups(spark, monkeypatch):
     """Groups and tiles of a few rows: lists of all groups together are those of one product, ties by key; a tile is all that one product holds."""
     rng = np.random.default_rng(8)
