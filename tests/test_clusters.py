@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from lodestone.operators import clusters
 from lodestone.operators.clusters import average_link
 from lodestone.plans import registry
 
@@ -34,6 +35,23 @@ def test_equals_one_merge_at_a_time(spark, clusters, block):
     assert {(r.grp, r.key): r.cluster for r in average_link(df, "g", "k", "v", clusters, block).collect()} == want
 
 
+@pytest.mark.parametrize("last", [2, 15, 1024])
+def test_rounds_and_the_last_task_agree(spark, monkeypatch, last):
+    """Rounds over blocks to the end, rounds with a task for the rest, and one task alone; few jobs where a task can hold the group."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g, n in ((1, 60), (2, 25)):
+        x = rng.standard_normal((n, 5)) + rng.integers(0, 2, (n, 1))
+        rows += [(g, k, [float(v) for v in r]) for k, r in enumerate(x)]
+        want |= {(g, k): c for k, c in plain(list(range(n)), x).items()}
+    df = spark.createDataFrame(rows, "g bigint, k bigint, v array<double>").repartition(3)
+    searched = []
+    monkeypatch.setattr(clusters, "_nearest", lambda *a, f=clusters._nearest: (searched.append(a), f(*a))[1])
+    assert {(r.grp, r.key): r.cluster for r in average_link(df, "g", "k", "v", 2, 16, last).collect()} == want
+    assert (len(searched) == 0) == (last == 1024)
+    assert all(a[1] is not None for a in searched[1:]), "later rounds look for some clusters only"
+
+
 def test_equal_vectors(spark):
     df = spark.createDataFrame([(1, k, [1.0, 0.0] if k < 5 else [0.0, 1.0]) for k in range(9)], "g bigint, k bigint, v array<double>")
     assert {r.key: r.cluster for r in average_link(df, "g", "k", "v").collect()} == {k: int(k >= 5) for k in range(9)}
